@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siderite.operators import quantiles, skew, snapshots
+from siderite.operators import quantiles, skew, snapshots, units
 from siderite.sources.tables import table
 
 KEYS = ["source", "canonical_name"]
@@ -16,6 +16,18 @@ RANK_SHARE = 0.002
 RANK_BOUND = 0.01
 
 
+def _common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.common_units(table(spark, sf_dir, "listings"), table(spark, sf_dir, "sources"), table(spark, sf_dir, "fx_rates"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.wrong_values(_common_units(spark, sf_dir))
+
+
+def p1_common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _common_units(spark, sf_dir).select("id", "source", "mass_g", "mass_basis", "unit_confidence", "currency_code", "usd")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, sf_dir, "listing_snapshots"), table(spark, sf_dir, "inventory_runs"))
 
@@ -69,4 +81,4 @@ def p6_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("field", "key_value", "q", "n", (off <= F.ceil(F.lit(RANK_BOUND) * F.col("n"))).alias("in_bound"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_change_counts, p5_found, p5_key_ranges, p6_percentiles, p6_snapshot_percentiles, p6_rank_check)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common_units, p3_found, p3_change_counts, p5_found, p5_key_ranges, p6_percentiles, p6_snapshot_percentiles, p6_rank_check)}
