@@ -88,7 +88,7 @@ def with_title_mass(df: DataFrame, title: str = "title", out: str = "title_mass_
     """
     c = {k: f"_{out}_{k}" for k in ("text", "match", "pair", "number", "unit", "pounds", "ounces")}
     col = {k: F.col(f"`{v}`") for k, v in c.items()}
-    rows = df.withColumn(c["text"], F.regexp_replace(F.col(title), TOTAL_FIND, " "))
+    rows = df.withColumn(c["text"], F.regexp_replace(F.regexp_replace(F.col(title), r"\s{2,}", " "), TOTAL_FIND, " "))
     rows = rows.withColumns({c["match"]: F.regexp_extract(col["text"], MASS, 0), c["pair"]: F.when(col["text"].rlike(r"(?i)\d\s?(?:lbs?|pounds?)\.? \d"), F.regexp_extract(col["text"], POUNDS_OUNCES, 0)).otherwise("")})
     rows = rows.withColumns({
         c["number"]: F.translate(F.regexp_extract(col["match"], r"^[\d.,\- ]*\d", 0), " ", ""),
