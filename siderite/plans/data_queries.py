@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siderite.operators import quantiles, skew, snapshots, units
+from siderite.session import stored
 from siderite.sources.tables import table
 
 KEYS = ["source", "canonical_name"]
@@ -56,19 +57,22 @@ def _snapshot_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.merge_summaries(parts, ["snapshot_id", "field", "key_value"], rows.rdd.getNumPartitions(), RANK_SHARE)
 
 
-def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _over_all(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
     runs = table(spark, sf_dir, "inventory_runs").count()
-    merged = quantiles.merge_summaries(_snapshot_summaries(spark, sf_dir), ["field", "key_value"], runs + 1, RANK_SHARE, "snapshot_id")
-    return quantiles.percentiles(merged, ["field", "key_value"], PROBABILITIES)
+    return quantiles.merge_summaries(parts, ["field", "key_value"], runs + 1, RANK_SHARE, "snapshot_id")
 
 
-def p6_snapshot_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.percentiles(_snapshot_summaries(spark, sf_dir), ["snapshot_id", "field", "key_value"], PROBABILITIES)
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each snapshot, and (snapshot_id null) of all, combined from the summaries of the single ones."""
+    parts = stored(_snapshot_summaries(spark, sf_dir))
+    single = quantiles.percentiles(parts, ["snapshot_id", "field", "key_value"], PROBABILITIES)
+    combined = quantiles.percentiles(_over_all(spark, sf_dir, parts), ["field", "key_value"], PROBABILITIES)
+    return single.unionByName(combined.withColumn("snapshot_id", F.lit(None).cast("int")))
 
 
 def p6_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each percentile's exact rank among all rows against the bound: (field, key_value, q, n, in_bound)."""
-    found = p6_percentiles(spark, sf_dir)
+    found = quantiles.percentiles(_over_all(spark, sf_dir, _snapshot_summaries(spark, sf_dir)), ["field", "key_value"], PROBABILITIES)
     rows = table(spark, sf_dir, "listing_snapshots").where("price_per_g_usd IS NOT NULL AND NOT isnan(price_per_g_usd) AND snapshot_id IS NOT NULL")
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("key_value")) for k in KEYS])).alias("k"), "price_per_g_usd").select("k.*", "price_per_g_usd")
     # equal values are counted before the join, so a hot key meets its few percentiles with one row for each value
@@ -81,4 +85,4 @@ def p6_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("field", "key_value", "q", "n", (off <= F.ceil(F.lit(RANK_BOUND) * F.col("n"))).alias("in_bound"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_common_units, p3_found, p3_change_counts, p5_found, p5_key_ranges, p6_percentiles, p6_snapshot_percentiles, p6_rank_check)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common_units, p3_found, p3_change_counts, p5_found, p5_key_ranges, p6_percentiles, p6_rank_check)}
