@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siderite.llm import names
+from siderite.llm import names, products
 from siderite.llm.sql import SQL
 from siderite.sources.tables import table
 
@@ -16,7 +16,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.map_names(unknown, table(spark, sf_dir, "official_names"), table(spark, sf_dir, "name_aliases"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "listings"), table(spark, sf_dir, "official_names"), table(spark, sf_dir, "name_aliases")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.find_pairs(*_three(spark, sf_dir))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.group_pieces(*_three(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

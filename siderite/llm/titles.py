@@ -21,7 +21,7 @@ fragment fragmento frag piece section talon part full thin partial partielle com
 type chondrite achondrite ordinary carbonaceous pallasite mesosiderite lunar martian
 rare rara rzadki selten superb stunning wow nicely polished poliert etched museum grade museumsqualitat qualite musee museo pieza de espectacular magnifique belle croute frische kruste fresh crust
 collector favourite investment certificate certificat certificado zertifikat certyfikatem with avec con mit z neu nouveaute novedad nowosc okazja free shipping
-top l k look from space one of a kind sold out reserved on hold prov meteorite meteorit meteorito no nr
+top l k look from space sold out reserved on hold prov meteorite meteorit meteorito no nr
 weight wt weighs gew gewicht peso pesa poids masse masa waga tkw art coll collection slg ex
 """.split()
 #: Words that stand for others at the head of a place name.
