@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siderite.llm import names, products
+from siderite.llm import names, products, truncation
 from siderite.llm.sql import SQL
 from siderite.sources.tables import table
 
@@ -28,7 +28,15 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.group_pieces(*_three(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
+
+
+def p9_cut_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_shares(truncation.cut_documents(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p9_found, p9_cut_shares)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
