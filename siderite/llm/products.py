@@ -34,11 +34,14 @@ def identified(listings: DataFrame, official_names: DataFrame, name_aliases: Dat
     them; nor are rows without id, source or title. Repeated rows count once.
     """
     rows = listings.where("id IS NOT NULL AND source IS NOT NULL AND title IS NOT NULL").select("id", "source", "title", "canonical_name", "canonical_name_status")
-    rows = with_collection_number(with_sizes(with_title_mass(rows), "title"), "title").where("title_mass_g IS NOT NULL AND (size_key IS NOT NULL OR collection_key IS NOT NULL)")
+    rows = with_collection_number(with_sizes(with_title_mass(rows), "title"), "title")
     at = lambda pattern: F.greatest(F.regexp_instr("title", F.lit(pattern)), F.lit(1)) / F.length("title")
     places = {"size_at": at(r"\d[\d.,]*\s*(?:x|×|by)\s"), "collection_at": at(r"(?i)coll|slg\.| No \d|\([A-Z]"), "name_at": F.greatest(F.locate(" ", F.col("title")), F.lit(1)) / F.length("title")}
     verified = F.col("canonical_name_status") == "metbull_verified"
-    kept = stored(rows.select("id", "source", F.when(verified, F.col("canonical_name")).alias("name"), F.when(~F.coalesce(verified, F.lit(False)), F.col("title")).alias("title"), F.col("title_mass_g").alias("mass_g"), "size_key", "collection_key", *(v.alias(k) for k, v in places.items())))
+    usable = F.col("title_mass_g").isNotNull() & (F.col("size_key").isNotNull() | F.col("collection_key").isNotNull())
+    # a filter on parsed columns would be pushed below them and parse every title once more: store first
+    parsed = stored(rows.select("id", "source", usable.alias("usable"), F.when(verified, F.col("canonical_name")).alias("name"), F.when(usable & ~F.coalesce(verified, F.lit(False)), F.col("title")).alias("title"), F.col("title_mass_g").alias("mass_g"), "size_key", "collection_key", *(v.alias(k) for k, v in places.items())))
+    kept = parsed.where("usable").drop("usable")
     official = official_names.where("status = 'Official'").groupBy("name").agg(F.min("code").alias("code"))
     open_rows = kept.where("name IS NULL")
     named = kept.join(official, "name").drop("name", "title").unionByName(open_rows.join(map_names(open_rows, official_names, name_aliases).where("code > 0"), "id").drop("name", "title"))
