@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siderite.llm import names, products, truncation
+from siderite.llm import names, packing, products, tokens, truncation
 from siderite.llm.sql import SQL
+from siderite.session import stored
 from siderite.sources.tables import table
 
 
@@ -28,6 +29,18 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.group_pieces(*_three(spark, sf_dir))
 
 
+def _token_sizes(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    return stored(tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", *kept, "text")))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_token_sizes(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_documents(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
 
@@ -36,7 +49,7 @@ def p9_cut_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(truncation.cut_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p9_found, p9_cut_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p7_containers, p7_fill, p9_found, p9_cut_shares)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
