@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siderite.llm import names, packing, products, tokens, truncation
+from siderite.llm import mixing, names, packing, products, tokens, truncation
 from siderite.llm.sql import SQL
 from siderite.session import stored
 from siderite.sources.tables import table
@@ -41,6 +41,19 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = _token_sizes(spark, sf_dir, "source", "lang", "kind").withColumnRenamed("kind", "topic")
+    return mixing.mix(sized, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir).select("mix", "doc_id", "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_documents(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
 
@@ -49,7 +62,7 @@ def p9_cut_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(truncation.cut_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p7_containers, p7_fill, p9_found, p9_cut_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_cut_shares)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
