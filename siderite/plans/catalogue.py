@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siderite.plans import data_queries, data_sql
+from siderite.plans import data_queries, data_sql, reference_queries, reference_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(data_queries.QUERIES)
+    return data_queries.QUERIES | reference_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(data_sql.SQL)
+    return data_sql.SQL | reference_sql.SQL

@@ -1,11 +1,13 @@
 """Every query of the core that has SQL, against DuckDB on sf0.001."""
 
+import os
+
 import pytest
 from oracle import compare
 
 from siderite.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SIDERITE_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
