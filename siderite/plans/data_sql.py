@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from siderite.functions.units import CURRENCY_WORDS, GRAMS, HUNDREDTH_WORDS, MASS_WORDS, NOTE_WORDS
+
 #: The plain form of a url, as siderite.functions.urls.plain_url gives it.
 _PLAIN = """
     'https://' || regexp_replace(lower(split_part(split_part(rest, '?', 1), '/', 1)), '^www\\.', '')
@@ -63,3 +65,55 @@ SQL = {
         WHERE key_value IS NOT NULL GROUP BY field, key_value, q
     """,
 }
+
+
+def _number(text: str, whole: str) -> str:
+    """A written number as DOUBLE; ``whole``: one comma before three digits parts thousands."""
+    t = f"replace({text}, ' ', '')"
+    return (
+        f"CASE WHEN regexp_matches({t}, '^\\d{{1,3}}(,\\d{{3}})*,\\d{{3}}\\.\\d+$|^\\d{{1,3}}(,\\d{{3}}){{2,}}$') OR ({whole} AND regexp_matches({t}, '^\\d{{1,3}},\\d{{3}}$'))"
+        f" THEN TRY_CAST(replace({t}, ',', '') AS DOUBLE)"
+        f" WHEN regexp_matches({t}, '^\\d{{1,3}}(\\.\\d{{3}})+,\\d+$|^\\d{{1,3}}(\\.\\d{{3}}){{2,}}$') THEN TRY_CAST(replace(replace({t}, '.', ''), ',', '.') AS DOUBLE)"
+        f" ELSE TRY_CAST(replace({t}, ',', '.') AS DOUBLE) END"
+    )
+
+
+_N = r"(?:\d{1,2}(?: \d{3})+|\d+(?:[.,]\d+)*)"
+_UNITS = "|".join(sorted((w for ws in MASS_WORDS.values() for w in ws), key=lambda w: (-len(w), w)))
+_UNIT_OF = "CASE " + " ".join(f"WHEN lower(g.u) IN ({', '.join(repr(w) for w in ws)}) THEN '{u}'" for u, ws in MASS_WORDS.items()) + " END"
+_GRAMS_OF = "CASE {0} " + " ".join(f"WHEN '{u}' THEN {f!r}::DOUBLE" for u, f in GRAMS.items()) + " END"
+_WORD = "lower(trim(spelled))"
+_CODE = "CASE " + " ".join(f"WHEN {_WORD} IN ({', '.join(repr(w) for w in [*ws, *HUNDREDTH_WORDS.get(c, [])])}) THEN '{c}'" for c, ws in CURRENCY_WORDS.items()) + " END"
+_SCALE = f"CASE WHEN {_WORD} IN ({', '.join(repr(w) for ws in HUNDREDTH_WORDS.values() for w in ws)}) THEN 0.01::DOUBLE ELSE 1::DOUBLE END"
+_BEFORE = r"(US\$|CA\$|C\$|\$|€|£|¥|\b(?:USD|EURO?|GBP|CAD|CHF|PLN|JPY|zł|zl|SFr\.?|Fr\.))\s?\d"
+_AFTER = r"\d\s?(US Dollars?|US\$|CA\$|C\$|\$|€|£|¥|USD|EUROS?|EUR|GBP|CAD|CHF|PLN|JPY|yen|zł|zl|SFr\.?|Fr\.)(?:$|[^\w])"
+_NOTES = "CASE " + " ".join(f"WHEN regexp_matches(lower(notes), '{p}') THEN '{u}'" for u, p in NOTE_WORDS) + " ELSE 'g' END"
+
+SQL["p1_found"] = f"""
+WITH notes AS (SELECT name AS source, min({_NOTES}) AS declared FROM sources GROUP BY name),
+rates AS (
+    SELECT rate_date, currency AS code, rate_to_usd AS rate FROM fx_rates WHERE provider = 'open board'
+    QUALIFY row_number() OVER (PARTITION BY rate_date, currency ORDER BY published_at DESC, rate_to_usd DESC) = 1
+), clean AS (
+    SELECT id, source, CASE WHEN NOT isnan(weight_g) THEN weight_g END AS weight_g, price, price_usd, fx_rate_date,
+           regexp_replace(regexp_replace(title, '\\s{{2,}}', ' ', 'g'), '\\(?\\b(?:TKW:?|total known weight:?|of)\\s+\\d[\\d.,]*\\s?(?:kg|g|t)\\b(?:\\s+total known weight)?\\)?', ' ', 'gi') AS x,
+           coalesce(currency, CASE WHEN price IS NOT NULL THEN coalesce(nullif(regexp_extract(title, '{_BEFORE}', 1, 'i'), ''), nullif(regexp_extract(title, '{_AFTER}', 1, 'i'), '')) END) AS spelled
+    FROM listings
+), matched AS (
+    SELECT *, regexp_extract(x, '(^|[^\\w.,#])({_N})(-{_N})?\\s?({_UNITS})($|[^\\w])', ['a', 'n', 'r', 'u', 'z'], 'i') AS g,
+           regexp_extract(x, '(^|[^\\w.,#])({_N})\\s?(?:lbs?|pounds?)\\.? ({_N})\\s?(?:oz|ounces?)($|[^\\w])', ['a', 'p', 'o', 'z'], 'i') AS q
+    FROM clean
+), valued AS (
+    SELECT *, {_UNIT_OF} AS unit, {_CODE} AS code, {_SCALE} AS scale FROM matched
+), stated AS (
+    SELECT *, CASE WHEN q.p <> '' THEN ({_number('q.p', 'FALSE')}) * {GRAMS['lb']!r}::DOUBLE + ({_number('q.o', 'FALSE')}) * {GRAMS['oz']!r}::DOUBLE
+                   WHEN g.n = '' OR g.r <> '' THEN NULL ELSE ({_number('g.n', "unit IN ('g', 'mg', 'ct')")}) * {_GRAMS_OF.format('unit')} END AS title_g
+    FROM valued
+), converted AS (
+    SELECT s.*, CASE WHEN title_g > 0 THEN title_g ELSE weight_g * {_GRAMS_OF.format("coalesce(n.declared, 'g')")} END AS mass_g, price * scale * rate AS usd
+    FROM stated s LEFT JOIN notes n ON s.source = n.source LEFT JOIN rates r ON s.fx_rate_date = r.rate_date AND s.code = r.code
+)
+SELECT DISTINCT id, 'weight_g' AS field FROM converted WHERE weight_g IS NOT NULL AND abs(weight_g - mass_g) > 0.01 * abs(mass_g)
+UNION ALL
+SELECT DISTINCT id, 'price_usd' FROM converted WHERE price_usd IS NOT NULL AND (price IS NULL OR abs(price_usd - usd) > 0.01 * abs(usd))
+"""
