@@ -170,8 +170,10 @@ def pack(sizes: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS
     kinds = containers.where("container IS NOT NULL AND capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
     twins = sizes.where("doc_id IS NOT NULL AND tokens > 0").groupBy("doc_id", "tokens").agg(F.count(F.lit(1)).alias("copies"))
     texts = twins.select("doc_id", "tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
-    # a few kinds of container; every text goes into each kind
-    every = texts.join(F.broadcast(kinds), F.lit(True))
+    # a row for each kind of container is all that is collected; every text goes into each kind
+    each = [F.struct(F.lit(r["container"]).alias("container"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in kinds.orderBy("container").collect()]
+    none = F.array().cast("array<struct<container:string,capacity:bigint>>")
+    every = texts.select("*", F.explode(F.array(*each) if each else none).alias("_kind")).select("doc_id", "tokens", "copy", "_kind.*")
     full = F.floor(F.col("tokens") / F.col("capacity"))
     rest = F.col("tokens") - full * F.col("capacity")
     whole = every.where("tokens >= capacity").select("container", "capacity", "doc_id", "copy", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("part"))
