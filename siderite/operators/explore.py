@@ -98,7 +98,8 @@ def group_stats(rows: DataFrame, group: str, value: str, source: str = "source")
 
 def capped_groups(stats: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
     """stats if there are at most ``cap`` groups, else no row; the count is one small aggregate."""
-    return stats.join(stats.agg((F.count(F.lit(1)) <= cap).alias("_few")).where("_few"), F.lit(True), "left_semi")
+    few = stats.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= cap).select(F.lit(1).alias("_one"))
+    return stats.withColumn("_one", F.lit(1)).join(few, "_one", "left_semi").drop("_one")
 
 
 def histogram(rows: DataFrame, group: str, value: str) -> DataFrame:
