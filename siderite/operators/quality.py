@@ -69,6 +69,6 @@ def null_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, side): values that only one of two relations has."""
+    """(key, side): values that only one of two relations has; nulls are equal."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siderite.functions.text import selector_key
 from siderite.operators.enrich import name_key
 from siderite.sources.schemas import INVENTORY, LISTING, REGISTRY
 
@@ -55,8 +57,6 @@ def choose_sources(registry: DataFrame, wanted: DataFrame) -> tuple[DataFrame, D
 
     Names are compared by letters and digits only; of rows that share one the first by name is taken.
     """
-    from siderite.functions.text import selector_key
-
     known = registry.select("name", F.explode(F.array_distinct(F.array(selector_key(F.col("name")), selector_key(F.col("parser"))))).alias("token"))
     first = known.groupBy("token").agg(F.min("name").alias("name"))
     tokens = wanted.select(selector_key(F.col("token")).alias("token"), F.col("token").alias("given")).where("token <> ''")
@@ -88,8 +88,6 @@ def build_name_dimension(rows: DataFrame, least_names: int = 80_000, least_alias
 
     names: name_key and the columns of :func:`read_official_csv`. aliases: alias_key, name_key.
     """
-    import pandas as pd
-
     def keys(names: pd.Series) -> pd.Series:
         return names.map(name_key)
 

@@ -1,6 +1,7 @@
 """A data source over landed pages: folders of files, one partition for each host, so that hosts stay apart.
 
-``spark.dataSource.register(LandedPages)``; ``spark.read.format("landed_pages").load(folder)``. The folder has
+``spark.dataSource.register(LandedPages)``; ``spark.read.format("landed_pages").load(folder)``,
+with the option ``hosts`` (separated by commas) for some of them. The folder has
 one subfolder for each host; a page ``name.html`` may have ``name.json`` with its url and status. Nothing is
 fetched: what reads live sites writes such folders, at its own pace.
 """
@@ -11,7 +12,7 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "host string, url string, status int, body string, error string"
 
@@ -39,19 +40,11 @@ class LandedPages(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options.get("path", "")
-        self.hosts: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """An equality on the host chooses its folder; all else is left to the engine."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("host",):
-                self.hosts = {f.value} if self.hosts is None else self.hosts & {f.value}
-            else:
-                yield f
+        self.hosts = {h.strip() for h in options.get("hosts", "").split(",") if h.strip()}
 
     def partitions(self) -> list[InputPartition]:
         folders = sorted(p for p in Path(self.root).iterdir() if p.is_dir()) if self.root else []
-        return [_Host(str(p)) for p in folders if self.hosts is None or p.name in self.hosts] or [_Host("")]
+        return [_Host(str(p)) for p in folders if not self.hosts or p.name in self.hosts] or [_Host("")]
 
     def read(self, partition: _Host) -> Iterator[tuple]:
         if not partition.folder:
