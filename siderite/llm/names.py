@@ -29,6 +29,8 @@ SHORTEST_FUZZY = 6
 
 #: Compass adjectives that sellers shorten in area names.
 COMPASS = {"northern": "north", "southern": "south", "eastern": "east", "western": "west"}
+#: What else the first word of a place name is written as.
+HEADS = {"mount": ["mt", "mont", "monte"], "fort": ["ft"], "saint": ["st"], "lake": ["lac", "lago"]}
 
 
 def _parts(rows: DataFrame, text: str, *kept: str) -> DataFrame:
@@ -50,10 +52,11 @@ def listed_forms(official_names: DataFrame, name_aliases: DataFrame) -> DataFram
     words = F.split("words", " ")
     tail = F.array_join(F.slice(words, 2, 99), "")
     compass = F.create_map(*[F.lit(x) for pair in COMPASS.items() for x in pair])
+    heads = F.create_map(*[x for k, v in HEADS.items() for x in (F.lit(k), F.array(*[F.lit(h) for h in v]))])
     made = F.when(
         (F.col("number") != "") & (F.size(words) > 1),
         F.array_compact(F.array(F.concat(F.substring("words", 1, 1), tail), F.concat(tail, words[0]), F.concat(compass[words[0]], tail), F.when(F.length(words[0]) > 4, words[0]))),
-    ).otherwise(F.array().cast("array<string>"))
+    ).otherwise(F.transform(F.coalesce(heads[words[0]], F.array().cast("array<string>")), lambda h: F.concat(h, tail)))
     plain = parts.select("code", "official", "rank", "number", "letter", F.translate("words", " ", "").alias("form"))
     ruled = parts.select("code", "official", F.lit(2).alias("rank"), "number", "letter", F.explode(made).alias("form"))
     best = plain.unionByName(ruled).groupBy("form", "number", "letter", "rank").agg(F.count_distinct("code").alias("codes"), F.max("code").alias("code"), F.max("official").alias("official"))

@@ -21,11 +21,9 @@ fragment fragmento frag piece section talon part full thin partial partielle com
 type chondrite achondrite ordinary carbonaceous pallasite mesosiderite lunar martian
 rare rara rzadki selten superb stunning wow nicely polished poliert etched museum grade museumsqualitat qualite musee museo pieza de espectacular magnifique belle croute frische kruste fresh crust
 collector favourite investment certificate certificat certificado zertifikat certyfikatem with avec con mit z neu nouveaute novedad nowosc okazja free shipping
-top l k look from space sold out reserved on hold prov meteorite meteorit meteorito no nr
+top sold reserved prov meteorite meteorit meteorito no nr
 weight wt weighs gew gewicht peso pesa poids masse masa waga tkw art coll collection slg ex
 """.split()
-#: Words that stand for others at the head of a place name.
-SHORT_HEADS = {"mt": "mount", "ft": "fort", "st": "saint"}
 
 _SIZE = r"(\d[\d.,]*)\s?(?:x|×|by)\s?(\d[\d.,]*)\s?(?:x|×|by)\s?(\d[\d.,]*)\s?(mm|cm)(?!\w)"
 #: Second words of a collection's name.
@@ -40,7 +38,7 @@ _PRICE_AFTER = r"(?i)(?:US\$|CA\$|C\$|\$|€|£|¥|\b(?:USD|EURO?|GBP|CAD|CHF|PL
 _PRICE_BEFORE = r"(?i)\d[\d.,]*\s?(?:US Dollars?|US\$|CA\$|C\$|\$|€|£|¥|(?:USD|EUROS?|EUR|GBP|CAD|CHF|PLN|JPY|yen|zł|zl|SFr\.?|Fr\.)(?!\w))"
 _MASSES = r"(?i)(?<![\w.,#])(?<!\d-)" + f"{_NUMBER}(?:-{_NUMBER})?" + r"\s?" + _UNIT + r"(?!\w)\.?"
 _CLASS = r"(?i)(?:\btype )?(?<![\w#-])\(?(?:(?:LL|L|H|EH|EL|CV|CO|CM|CK|CR|CI|R|C)\d(?:[-/.]\d)?|I{1,3}[A-G]{1,2}|IV[AB]|PMG|Mesosiderite-A\d|Lunar \([^)]*\)|[A-Z][a-z]+-mmict|Eucrite|Diogenite|Howardite|Ureilite|Shergottite)\)?(?![\w-])"
-_PHRASES = r"\b(?:whole|complete) stone\b|\bone of a kind\b|\bl@@k\b|\bnew arrival\b|\bgreat price\b|\bbroken (?=frag)"
+_PHRASES = r"\b(?:whole|complete) stone\b|\bone of a kind\b|\bl@@k\b|\bnew arrival\b|\bgreat price\b|\bfrom space\b|\bon hold\b|\bsold out\b|\bbroken (?=frag)"
 NOISE = [TOTAL_FIND, r"(?i)" + _SIZE, r"(?i)\d[\d.,]*\s?(?:mm|cm)\b", _MASSES, _PRICE_AFTER, _PRICE_BEFORE, *COLLECTION, _STOCK, _CLASS]
 
 
@@ -68,7 +66,7 @@ def name_words(df: DataFrame, text: str, out: str) -> DataFrame:
 def squeezed_words(folded: Column, around: list[str]) -> Column:
     """Words of folded text; a zero among letters is an o, letters and digits part, possessive s goes."""
     words = F.regexp_replace(folded, _PHRASES, " ")
-    words = F.regexp_replace(words, r"(?<=[a-z])0(?=[a-z])", "o")
+    words = F.regexp_replace(words, r"(?<=[a-z])0(?![0-9])|(?<![a-z0-9])0(?=[a-z]{2})", "o")
     words = F.regexp_replace(words, r"\(([a-z])\)", " @$1 ")
     words = F.regexp_replace(words, r"['’`]s?(?![a-z])", " ")
     words = F.regexp_replace(words, r"['’`]", "")
@@ -76,8 +74,7 @@ def squeezed_words(folded: Column, around: list[str]) -> Column:
     words = F.regexp_replace(words, r"[^a-z0-9@]+", " ")
     listed = F.array(*[F.lit(w) for w in around])
     kept = F.filter(F.split(F.trim(words), " "), lambda w: ~F.array_contains(listed, w)) if around else F.split(F.trim(words), " ")
-    heads = F.create_map(*[F.lit(x) for pair in SHORT_HEADS.items() for x in pair])
-    return F.array_join(F.transform(kept, lambda w: F.coalesce(heads[w], w)), " ")
+    return F.array_join(kept, " ")
 
 
 def with_sizes(df: DataFrame, text: str, out: str = "size_key") -> DataFrame:
