@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siderite.operators import enrich, explore, merge, quality
+from siderite.operators import enrich, explore, listing, merge, quality
 from siderite.operators.enrich import rounded
 from siderite.operators.explore import Selection
+from siderite.session import ensure_checkpoint_dir
 from siderite.sources.tables import table
+from siderite.streaming import upsert
 
 TEXT = ["title", "canonical_name_display", "meteorite_type", "subtype", "source"]
 CHOSEN = Selection(search="slice", category="iron", source="Halden Bolide Works")
@@ -273,6 +277,28 @@ def image_lists(spark, sf_dir):
     return _listings(spark, sf_dir).select("id", "last_verified_at", F.size(urls).alias("images"), F.get(urls, F.lit(0)).alias("first_image"))
 
 
+def renewed_ratios(spark, sf_dir):
+    known = _open_rates(spark, sf_dir).where("fx_rate_date = '2026-05-10'").select("currency", "rate", F.col("fx_rate_date").alias("rate_date"))
+    return listing.renewed(_listings(spark, sf_dir), known).select("id", "last_verified_at", "price_per_g", "price_usd", "price_per_g_usd", "fx_rate_date")
+
+
+def stream_upsert_snapshot(spark, sf_dir):
+    """The events as a stream, merged batch by batch: the newest event of each user and type."""
+    ensure_checkpoint_dir(spark)
+    schema = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value").schema
+    home = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    upsert.upsert_stream(stream, f"{home}/table", ["user_id", "event_type"], "event_id", f"{home}/state").awaitTermination()
+    return upsert.read_table(spark, f"{home}/table", schema)
+
+
+def event_sessions(spark, sf_dir):
+    """Runs of a user's events without a gap of an hour; the batch form of the streaming sessions."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = rows.groupBy(F.session_window("ts", "1 hour").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -280,6 +306,6 @@ QUERIES = {
         price_histogram, histogram_filter, group_cap, sort_nulls_last, sort_natural, family_order, stage_counts, fx_convert, fx_fallback, alias_lookup, first_match_lookup,
         status_filter_lookup, first_wins, last_wins, newest_listing, merge_upsert, merge_without_preserve, empty_refreshes, rotation_pick, stable_order_topk, locf, set_algebra,
         dup_keys, null_profile, violations_row, violation_counts, violations_meta, reject_top8, confidence_score, row_id_sha1, domain_norm, domain_listings, classify_rules,
-        json_props, price_changes, buying_options, image_lists,
+        json_props, price_changes, buying_options, image_lists, renewed_ratios, stream_upsert_snapshot, event_sessions,
     )
 }

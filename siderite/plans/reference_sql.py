@@ -203,4 +203,18 @@ SQL = {
         WITH u AS (SELECT id, last_verified_at, list_filter(list_concat([image_url], coalesce(image_urls, [])), lambda x: x IS NOT NULL AND regexp_matches(x, '^https?://')) AS urls FROM listings)
         SELECT id, last_verified_at, CAST(len(list_distinct(urls)) AS INT) AS images, urls[1] AS first_image FROM u
     """,
+    "renewed_ratios": f"""
+        WITH rates AS (SELECT currency AS code, rate_to_usd AS rate, rate_date FROM fx_rates WHERE provider = 'open board' AND rate_date = '2026-05-10' QUALIFY row_number() OVER (PARTITION BY currency ORDER BY published_at DESC, rate_to_usd DESC) = 1),
+        c AS (SELECT l.id, l.last_verified_at, l.price, l.weight_g, {_r('(l.price * rate)', 2)} AS usd, rate_date FROM listings l LEFT JOIN rates r ON l.currency = r.code)
+        SELECT id, last_verified_at, CASE WHEN weight_g > 0 AND price > 0 THEN {_r('(price / weight_g)', 4)} END AS price_per_g, usd AS price_usd,
+               CASE WHEN weight_g > 0 AND price > 0 THEN {_r('(usd / weight_g)', 4)} END AS price_per_g_usd, CASE WHEN usd IS NOT NULL THEN rate_date END AS fx_rate_date
+        FROM c
+    """,
+    "stream_upsert_snapshot": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
+    "event_sessions": """
+        WITH t AS (SELECT user_id, epoch_us(ts) AS us FROM events),
+        s AS (SELECT *, CASE WHEN us - lag(us) OVER w < 3600000000 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+        n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM s)
+        SELECT user_id, min(us) AS start_us, count(*) AS n FROM n GROUP BY user_id, part
+    """,
 }
