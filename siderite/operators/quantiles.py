@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one summary run sorts at once; it bounds a task's memory.
 RUN_ROWS = 500_000
-#: Summaries of a key that one merge takes at most, and groups of keys that are merged side by side.
+#: Summaries of a key that one merge takes at most, and groups of keys that are merged side by side at least.
 FAN_OUT, KEY_GROUPS = 64, 64
 
 LISTS = "vals array<double>, g array<bigint>, delta array<bigint>"
@@ -170,10 +170,11 @@ def merge_summaries(parts: DataFrame, keys: list[str], leaves: int, share: float
     """
     kinds = dict(parts.dtypes)
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    key_groups = max(KEY_GROUPS, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     levels = max(1, math.ceil(math.log(max(leaves, 2), FAN_OUT)))
     for level in range(levels):
         last = level == levels - 1
-        group = F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).cast("int").alias("_group")
+        group = F.pmod(F.xxhash64(*keys), F.lit(key_groups)).cast("int").alias("_group")
         block = F.lit(0) if last else (F.col(leaf) / FAN_OUT).cast("int")
         keyed = parts.select(*keys, "n", "vals", "g", "delta", group, block.alias("_block"))
 
