@@ -67,7 +67,7 @@ def slug(prefix: str, value: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
 
 
-#: Words in an image's url that mark decoration, not a picture of the piece; a fixed list.
+#: Words in an image's url that mark decoration, not a picture of the piece.
 DECORATION = r"(?i)favicon|ajax-loader|logo|spinner|counter|placeholder|sold\.jpg"
 
 
@@ -106,6 +106,10 @@ def around(text: Column, pattern: str, before: int, after: int) -> Column:
     return F.when(at > 0, F.substring(text, F.greatest(at - before, F.lit(1)), F.least(at - 1, F.lit(before)) + F.length(F.regexp_extract(text, pattern, 0)) + after))
 
 
+#: What says that a piece is gone; ``sold by`` names a seller.
+GONE = r"(?i)\b(?:on\s+hold|reserved|unavailable|discontinued)\b|\bsold\b(?![\s-]+by\b)|\bout[\s_-]*of[\s_-]*stock\b"
+
+
 def unavailable(text: Column) -> Column:
-    """Whether a text says that a piece is gone; ``sold by`` names a seller."""
-    return F.coalesce(text.rlike(r"(?i)\b(?:on\s+hold|reserved|unavailable|discontinued)\b|\bsold\b(?![\s-]+by\b)|\bout[\s_-]*of[\s_-]*stock\b"), F.lit(False))
+    """Whether a text says that a piece is gone; null says nothing."""
+    return F.coalesce(text.rlike(GONE), F.lit(False))
