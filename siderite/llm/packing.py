@@ -145,9 +145,10 @@ def pack_blocks(items: DataFrame, islands: int = ISLANDS, rounds: int = ROUNDS,
     ordered = F.sort_array(F.collect_list(F.struct(F.col("tokens").cast("int").alias("size"), "doc_id", "part")), asc=False)
     blocks = stored(items.groupBy("container", "capacity", "block").agg(ordered.alias("held")))
     state = blocks.select("container", "capacity", "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("held.size").alias("sizes"), F.array().cast("array<array<int>>").alias("elites"))
-    state = state.repartition("container", "block", "island")
+    # islands are little data and much work: a fixed number of tasks keeps the optimizer from joining them to few
+    lanes = 3 * items.sparkSession.sparkContext.defaultParallelism
     for number in range(rounds):
-        state = state.mapInArrow(_island_round(number, offspring), _ISLAND)
+        state = state.repartition(lanes, "container", "block", "island").mapInArrow(_island_round(number, offspring), _ISLAND)
         if number < rounds - 1:
             # each island takes the next one's best along with its own
             ring = state.withColumn("from", F.pmod(F.col("island") + 1, F.lit(islands)))
