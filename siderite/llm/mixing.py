@@ -141,9 +141,14 @@ def even_out(drawn: DataFrame) -> DataFrame:
 def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """(mix, doc_id, source, tokens, copies), copies > 0: see :func:`mix_weights`, :func:`sample` and :func:`even_out`.
 
-    Rows without doc_id, source or tokens take no part; missing languages and topics are ``unknown``.
+    Rows without doc_id, source or tokens take no part; missing languages and topics are ``unknown``. Where
+    sized has a ``text_key``, equal texts are one text: the row of the smallest doc_id stands for all, so that
+    max_repeats holds for the text and not for each time it was fetched.
     """
     usable = sized.where("doc_id IS NOT NULL AND source IS NOT NULL AND tokens > 0")
+    if "text_key" in sized.columns:
+        first = F.min(F.struct("doc_id", "source", "lang", "topic", "tokens")).alias("x")
+        usable = stored(usable.groupBy("text_key").agg(first).select("x.*"))
     usable = usable.select("doc_id", "source", F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("topic", F.lit("unknown")).alias("topic"), "tokens")
     drawn = even_out(sample(usable, mix_weights(usable, targets, total_tokens)))
     return drawn.where("copies > 0").select("mix", "doc_id", "source", "tokens", "copies")

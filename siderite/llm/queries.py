@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siderite.llm import mixing, names, packing, products, tokens, truncation
 from siderite.llm.sql import SQL
@@ -29,8 +30,8 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.group_pieces(*_three(spark, sf_dir))
 
 
-def _token_sizes(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
-    return stored(tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", *kept, "text")))
+def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = _token_sizes(spark, sf_dir, "source", "lang", "kind").withColumnRenamed("kind", "topic")
-    return mixing.mix(sized, table(spark, sf_dir, "mix_targets"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("kind").alias("topic"), F.md5("text").alias("text_key"), "text")
+    return mixing.mix(stored(tokens.token_counts(documents)), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

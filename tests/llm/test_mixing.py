@@ -49,3 +49,10 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SIZED)
     assert mixing.mix(none, spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS)).count() == 0
     assert mixing.mix(spark.createDataFrame(corpus(), SIZED), spark.createDataFrame([], TARGETS)).count() == 0
+
+
+def test_equal_texts_are_one(spark):
+    rows = [(i, "a", "en", "x", 10, "k1" if i < 3 else f"k{i}") for i in range(6)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, tokens bigint, text_key string")
+    drawn = {r["doc_id"]: r["copies"] for r in mixing.mix(sized, spark.createDataFrame([("m", "a", 1.0, 2)], TARGETS), 1000).collect()}
+    assert drawn == {0: 2, 3: 2, 4: 2, 5: 2}
