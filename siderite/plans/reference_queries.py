@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siderite.operators import enrich, explore, listing, merge, quality
+from siderite.functions import text
+from siderite.operators import enrich, explore, listing, merge, quality, runs
 from siderite.operators.enrich import rounded
 from siderite.operators.explore import Selection
 from siderite.session import ensure_checkpoint_dir
@@ -277,6 +278,28 @@ def image_lists(spark, sf_dir):
     return _listings(spark, sf_dir).select("id", "last_verified_at", F.size(urls).alias("images"), F.get(urls, F.lit(0)).alias("first_image"))
 
 
+def candidate_score(spark, sf_dir):
+    """How much the registry's own descriptions look like a seller's page."""
+    rows = table(spark, sf_dir, "sources").withColumn("text", F.concat_ws(" ", "name", "description", "notes"))
+    scored = runs.candidate_scores(rows, runs.shop_evidence(F.col("text"), F.col("enabled"), F.col("parser")))
+    return scored.select("name", "score", F.size("evidence").alias("found"))
+
+
+def domain_blocklist(spark, sf_dir):
+    """Hosts of the snapshots screened against the registry's known and blocked domains."""
+    sources = table(spark, sf_dir, "sources")
+    results = table(spark, sf_dir, "listing_snapshots").groupBy("url").agg(F.count(F.lit(1)).alias("seen")).withColumn("seq", F.xxhash64("url"))
+    known = runs.known_domains(sources.where("stage = 'active_verified' AND name LIKE '%a%'"))
+    blocked = sources.where("name LIKE '%e%'").select(text.domain(F.col("base_url")).alias("domain")).distinct()
+    screened = runs.screened(results, known, blocked)
+    return screened.groupBy("domain", F.when(F.col("reason") == "repeated", None).otherwise(F.col("reason")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def suspicious_topn(spark, sf_dir):
+    rules = [r for r in quality.listing_rules() if r.severity == "warning"]
+    return quality.violations(_listings(spark, sf_dir), rules, ["id", "last_verified_at"]).orderBy("id", "last_verified_at", "rule").limit(20)
+
+
 def renewed_ratios(spark, sf_dir):
     known = _open_rates(spark, sf_dir).where("fx_rate_date = '2026-05-10'").select("currency", "rate", F.col("fx_rate_date").alias("rate_date"))
     return listing.renewed(_listings(spark, sf_dir), known).select("id", "last_verified_at", "price_per_g", "price_usd", "price_per_g_usd", "fx_rate_date")
@@ -306,6 +329,6 @@ QUERIES = {
         price_histogram, histogram_filter, group_cap, sort_nulls_last, sort_natural, family_order, stage_counts, fx_convert, fx_fallback, alias_lookup, first_match_lookup,
         status_filter_lookup, first_wins, last_wins, newest_listing, merge_upsert, merge_without_preserve, empty_refreshes, rotation_pick, stable_order_topk, locf, set_algebra,
         dup_keys, null_profile, violations_row, violation_counts, violations_meta, reject_top8, confidence_score, row_id_sha1, domain_norm, domain_listings, classify_rules,
-        json_props, price_changes, buying_options, image_lists, renewed_ratios, stream_upsert_snapshot, event_sessions,
+        json_props, price_changes, buying_options, image_lists, candidate_score, domain_blocklist, suspicious_topn, renewed_ratios, stream_upsert_snapshot, event_sessions,
     )
 }

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_stored: list[str] = []
 
 
 def local_session(app: str = "siderite", cores: int | str = 8, **conf: str) -> SparkSession:
@@ -53,9 +54,19 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_stored(spark: SparkSession) -> int:
+    """Deletes what :func:`stored` has written so far, for sessions that run long; results that rest on it must be saved before."""
+    count = len(_stored)
+    while _stored:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    return count
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: its files outlive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
