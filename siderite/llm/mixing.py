@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siderite.session import stored
+from siderite.session import small_side, stored
 
 ROUNDS, TOLERANCE = 200, 1e-9
 #: Salt of the sampling groups; more spread a hot source over more tasks.
@@ -119,7 +119,7 @@ def even_out(drawn: DataFrame) -> DataFrame:
     """
     drawn = stored(drawn)
     gap = drawn.groupBy("mix", "source").agg((F.first("budget") - F.sum(F.col("tokens") * F.col("copies"))).alias("gap"))
-    near = drawn.join(F.broadcast(gap), ["mix", "source"])  # one row for each target
+    near = drawn.join(small_side(stored(gap)), ["mix", "source"])  # one row for each target
     may = F.when(F.col("gap") > 0, F.col("copies") < F.col("max_repeats")).otherwise(F.col("copies") > 0)
     place = Window.partitionBy("mix", "source", "size_class", "salt").orderBy(F.xxhash64("doc_id", "mix"), "doc_id")
     sized = near.where(may & (F.col("tokens") <= F.abs("gap"))).select("mix", "source", "doc_id", "tokens", "gap", F.floor(F.log2("tokens") * 2).cast("int").alias("size_class"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("salt"))
