@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siderite.functions.urls import plain_url
+from siderite.session import small_side
 
 #: A state is one whole number: ((cents + OFFSET) * 3 + available) below STATE_SPAN, so that a plain max() finds the newest.
 CENT_LIMIT = 10**17
@@ -57,7 +58,7 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame | None = None) -> Dat
     # one row per delivery, so the unpartitioned window holds as many rows as there are snapshots
     order = Window.orderBy("snapshot_id")
     chain = ids.select("snapshot_id", F.lag("snapshot_id").over(order).alias("_before"), F.lead("snapshot_id").over(order).alias("_after"))
-    states = latest_states(snapshots).join(F.broadcast(chain), "snapshot_id")
+    states = latest_states(snapshots).join(small_side(chain), "snapshot_id")
     sides = F.array(
         F.when(F.col("_before").isNotNull(), F.struct(F.col("snapshot_id").alias("pair"), F.lit(1).alias("side"))),
         F.when(F.col("_after").isNotNull(), F.struct(F.col("_after").alias("pair"), F.lit(-1).alias("side"))),

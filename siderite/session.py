@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _stored: list[str] = []
@@ -58,6 +59,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most ``most_rows`` rows, else as it is; the count stops at the bound."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def release_stored(spark: SparkSession) -> int:
     """Deletes what :func:`stored` has written so far, for sessions that run long; results that rest on it must be saved before."""
     count = len(_stored)
@@ -65,9 +71,3 @@ def release_stored(spark: SparkSession) -> int:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
     return count
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: its files outlive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
