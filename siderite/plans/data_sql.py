@@ -89,6 +89,19 @@ _BEFORE = r"(US\$|CA\$|C\$|\$|€|£|¥|\b(?:USD|EURO?|GBP|CAD|CHF|PLN|JPY|zł|z
 _AFTER = r"\d\s?(US Dollars?|US\$|CA\$|C\$|\$|€|£|¥|USD|EUROS?|EUR|GBP|CAD|CHF|PLN|JPY|yen|zł|zl|SFr\.?|Fr\.)(?:$|[^\w])"
 _NOTES = "CASE " + " ".join(f"WHEN regexp_matches(lower(notes), '{p}') THEN '{u}'" for u, p in NOTE_WORDS) + " ELSE 'g' END"
 
+CLEAN_TITLE = "regexp_replace(regexp_replace(title, '\\s{2,}', ' ', 'g'), '\\(?\\b(?:TKW:?|total known weight:?|of)\\s+\\d[\\d.,]*\\s?(?:kg|g|t)\\b(?:\\s+total known weight)?\\)?', ' ', 'gi')"
+#: From ``clean`` with x, a CLEAN_TITLE: ``stated`` with title_g, the mass of the piece in grams as the title states it.
+STATED_MASS = f"""matched AS (
+    SELECT *, regexp_extract(x, '(^|[^\\w.,#])({_N})(-{_N})?\\s?({_UNITS})($|[^\\w])', ['a', 'n', 'r', 'u', 'z'], 'i') AS g,
+           regexp_extract(x, '(^|[^\\w.,#])({_N})\\s?(?:lbs?|pounds?)\\.? ({_N})\\s?(?:oz|ounces?)($|[^\\w])', ['a', 'p', 'o', 'z'], 'i') AS q
+    FROM clean
+), measured AS (
+    SELECT *, {_UNIT_OF} AS unit FROM matched
+), weighed AS (
+    SELECT *, CASE WHEN q.p <> '' THEN ({_number('q.p', 'FALSE')}) * {GRAMS['lb']!r}::DOUBLE + ({_number('q.o', 'FALSE')}) * {GRAMS['oz']!r}::DOUBLE
+                   WHEN g.n = '' OR g.r <> '' THEN NULL ELSE ({_number('g.n', "unit IN ('g', 'mg', 'ct')")}) * {_GRAMS_OF.format('unit')} END AS w FROM measured
+), stated AS (SELECT *, CASE WHEN w > 0 THEN w END AS title_g FROM weighed)"""
+
 SQL["p1_found"] = f"""
 WITH notes AS (SELECT name AS source, min({_NOTES}) AS declared FROM sources GROUP BY name),
 rates AS (
@@ -96,22 +109,13 @@ rates AS (
     QUALIFY row_number() OVER (PARTITION BY rate_date, currency ORDER BY published_at DESC, rate_to_usd DESC) = 1
 ), clean AS (
     SELECT id, source, CASE WHEN NOT isnan(weight_g) THEN weight_g END AS weight_g, price, price_usd, fx_rate_date,
-           regexp_replace(regexp_replace(title, '\\s{{2,}}', ' ', 'g'), '\\(?\\b(?:TKW:?|total known weight:?|of)\\s+\\d[\\d.,]*\\s?(?:kg|g|t)\\b(?:\\s+total known weight)?\\)?', ' ', 'gi') AS x,
+           {CLEAN_TITLE} AS x,
            coalesce(currency, CASE WHEN price IS NOT NULL THEN coalesce(nullif(regexp_extract(title, '{_BEFORE}', 1, 'i'), ''), nullif(regexp_extract(title, '{_AFTER}', 1, 'i'), '')) END) AS spelled
     FROM listings
-), matched AS (
-    SELECT *, regexp_extract(x, '(^|[^\\w.,#])({_N})(-{_N})?\\s?({_UNITS})($|[^\\w])', ['a', 'n', 'r', 'u', 'z'], 'i') AS g,
-           regexp_extract(x, '(^|[^\\w.,#])({_N})\\s?(?:lbs?|pounds?)\\.? ({_N})\\s?(?:oz|ounces?)($|[^\\w])', ['a', 'p', 'o', 'z'], 'i') AS q
-    FROM clean
-), valued AS (
-    SELECT *, {_UNIT_OF} AS unit, {_CODE} AS code, {_SCALE} AS scale FROM matched
-), stated AS (
-    SELECT *, CASE WHEN q.p <> '' THEN ({_number('q.p', 'FALSE')}) * {GRAMS['lb']!r}::DOUBLE + ({_number('q.o', 'FALSE')}) * {GRAMS['oz']!r}::DOUBLE
-                   WHEN g.n = '' OR g.r <> '' THEN NULL ELSE ({_number('g.n', "unit IN ('g', 'mg', 'ct')")}) * {_GRAMS_OF.format('unit')} END AS title_g
-    FROM valued
-), converted AS (
-    SELECT s.*, CASE WHEN title_g > 0 THEN title_g ELSE weight_g * {_GRAMS_OF.format("coalesce(n.declared, 'g')")} END AS mass_g, price * scale * rate AS usd
-    FROM stated s LEFT JOIN notes n ON s.source = n.source LEFT JOIN rates r ON s.fx_rate_date = r.rate_date AND s.code = r.code
+), {STATED_MASS}, converted AS (
+    SELECT s.*, coalesce(title_g, weight_g * {_GRAMS_OF.format("coalesce(n.declared, 'g')")}) AS mass_g, price * scale * rate AS usd
+    FROM (SELECT *, {_CODE} AS code, {_SCALE} AS scale FROM stated) s
+    LEFT JOIN notes n ON s.source = n.source LEFT JOIN rates r ON s.fx_rate_date = r.rate_date AND s.code = r.code
 )
 SELECT DISTINCT id, 'weight_g' AS field FROM converted WHERE weight_g IS NOT NULL AND abs(weight_g - mass_g) > 0.01 * abs(mass_g)
 UNION ALL
