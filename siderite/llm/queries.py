@@ -26,6 +26,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.find_pairs(*_three(spark, sf_dir))
 
 
+def p4_verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs among listings whose name is given."""
+    listings, names_, aliases = _three(spark, sf_dir)
+    return products.find_pairs(listings.where("canonical_name_status = 'metbull_verified'"), names_, aliases)
+
+
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.group_pieces(*_three(spark, sf_dir))
 
@@ -63,7 +69,7 @@ def p9_cut_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(truncation.cut_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_cut_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p4_verified_pairs, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_cut_shares)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
