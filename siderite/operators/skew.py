@@ -36,6 +36,24 @@ def eager_join_stats(left: DataFrame, right: DataFrame, keys: list[str], value:
     return joined.withColumns({"r_rows": matched, "pairs": F.col("l_rows") * matched, "pair_sum": F.col("l_sum") * matched})
 
 
+def eager_key_stats(left: DataFrame, right: DataFrame, keys: list[str], value: str, moment: str) -> DataFrame:
+    """The states of every key of either side, null key included, and what joining the two would give per key.
+
+    Columns as in :func:`eager_join_stats`, which keeps left's keys only. A key that one side lacks has 0 rows and
+    values there and no range; l_rows and r_rows of a field sum to the rows of the two tables. ``pairs`` and
+    ``pair_sum`` are 0 where a key is null or on one side only.
+    """
+    a, b = key_states(left, keys, value, moment, "l_"), key_states(right, keys, value, moment, "r_")
+    # one aggregate over both sides' states merges them null-safely; each state has at most one row for a key
+    lacking = lambda own, other: own.select("*", *[F.lit(None).cast(other.schema[c].dataType).alias(c) for c in other.columns[2:]])
+    both = lacking(a, b).unionByName(lacking(b, a))
+    merged = both.groupBy("field", "key_value").agg(*[F.max(c).alias(c) for c in both.columns[2:]])
+    counts = [f"{p}_{c}" for p in "lr" for c in ("rows", "values")]
+    merged = merged.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    joins = F.col("key_value").isNotNull() & (F.col("l_rows") > 0) & (F.col("r_rows") > 0)
+    return merged.withColumns({"pairs": F.when(joins, F.col("l_rows") * F.col("r_rows")).otherwise(0), "pair_sum": F.when(joins, F.col("l_sum") * F.col("r_rows")).otherwise(0.0)})
+
+
 def heavy_keys(states: DataFrame, rows: str, least_share: float) -> DataFrame:
     """(field, key_value) of the non-null keys that hold at least ``least_share`` of the field's rows.
 

@@ -51,6 +51,13 @@ def p5_key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_key_stats(spark, sf_dir).select(shown)
 
 
+def p5_all_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ranges and newest rows of every key of listings or listing_snapshots; p5_key_ranges has those of listings' keys."""
+    left, right = table(spark, sf_dir, "listings"), table(spark, sf_dir, "listing_snapshots")
+    shown = ["field", "key_value", "l_rows", "l_values", "l_min", "l_max", "l_newest", "r_rows", "r_values", "r_min", "r_max", "r_newest", "pairs"]
+    return skew.eager_key_stats(left, right, KEYS, "price_usd", "scraped_at").select(shown)
+
+
 def _snapshot_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "listing_snapshots").where("snapshot_id IS NOT NULL")
     parts = quantiles.summaries(rows, KEYS, "price_per_g_usd", ["snapshot_id"], RANK_SHARE)
@@ -85,4 +92,4 @@ def p6_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("field", "key_value", "q", "n", (off <= F.ceil(F.lit(RANK_BOUND) * F.col("n"))).alias("in_bound"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_common_units, p3_found, p3_change_counts, p5_found, p5_key_ranges, p6_percentiles, p6_rank_check)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common_units, p3_found, p3_change_counts, p5_found, p5_key_ranges, p5_all_ranges, p6_percentiles, p6_rank_check)}

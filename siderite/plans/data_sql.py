@@ -55,6 +55,14 @@ SQL = {
         SELECT l.*, coalesce(r_rows, 0) AS r_rows, r_values, r_min, r_max, r_newest, l_rows * coalesce(r_rows, 0) AS pairs
         FROM lstate l LEFT JOIN rstate r ON l.field = r.field AND l.key_value = r.key_value
     """,
+    "p5_all_ranges": f"""
+        WITH {_STATES.format(p='l', t='listings')}, {_STATES.format(p='r', t='listing_snapshots')}
+        SELECT coalesce(l.field, r.field) AS field, coalesce(l.key_value, r.key_value) AS key_value,
+               coalesce(l_rows, 0) AS l_rows, coalesce(l_values, 0) AS l_values, l_min, l_max, l_newest,
+               coalesce(r_rows, 0) AS r_rows, coalesce(r_values, 0) AS r_values, r_min, r_max, r_newest,
+               CASE WHEN l.key_value = r.key_value THEN l_rows * r_rows ELSE 0 END AS pairs
+        FROM lstate l FULL JOIN rstate r ON l.field = r.field AND l.key_value IS NOT DISTINCT FROM r.key_value
+    """,
     "p6_rank_check": """
         WITH long AS (
             SELECT 'source' AS field, source AS key_value FROM listing_snapshots WHERE price_per_g_usd IS NOT NULL AND NOT isnan(price_per_g_usd) AND snapshot_id IS NOT NULL

@@ -30,6 +30,18 @@ def test_eager_join_equals_the_join(spark):
     assert all(r["pairs"] == 0 for r in skew.eager_join_stats(left, empty, ["source"], "price_usd", "scraped_at").collect())
 
 
+def test_keys_of_either_side_have_their_states(spark):
+    left, right = [("a", 1.0), ("a", 3.0), (None, 2.0), ("l", 5.0)], [("a", 4.0), (None, 6.0), (None, 8.0), ("r", 7.0), ("r", None)]
+    frame = lambda rows_: spark.createDataFrame([(k, None, v, None, "f") for k, v in rows_], SCHEMA)
+    stats = lambda a, b: {r["key_value"]: r for r in skew.eager_key_stats(frame(a), frame(b), ["source"], "price_usd", "scraped_at").collect()}
+    shown = lambda r: (r["l_rows"], r["l_values"], r["l_min"], r["l_max"], r["r_rows"], r["r_values"], r["r_min"], r["r_max"], r["pairs"], r["pair_sum"])
+    assert {k: shown(r) for k, r in stats(left, right).items()} == {
+        "a": (2, 2, 1.0, 3.0, 1, 1, 4.0, 4.0, 2, 4.0), None: (1, 1, 2.0, 2.0, 2, 2, 6.0, 8.0, 0, 0.0),
+        "l": (1, 1, 5.0, 5.0, 0, 0, None, None, 0, 0.0), "r": (0, 0, None, None, 2, 1, 7.0, 7.0, 0, 0.0),
+    }
+    assert set(stats([], right)) == {"a", None, "r"} and set(stats(left, [])) == {"a", None, "l"}
+
+
 DATA = "day int, k string, v double, n int"
 
 
