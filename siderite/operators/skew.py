@@ -7,7 +7,7 @@ A key that holds a third of all rows costs its tasks one state each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,34 +24,22 @@ def key_states(df: DataFrame, keys: list[str], value: str, moment: str, prefix:
     return long.groupBy("field", "key_value").agg(*states)
 
 
-def eager_join_stats(left: DataFrame, right: DataFrame, keys: list[str], value: str, moment: str) -> DataFrame:
-    """What ``left LEFT JOIN right`` by each key would give per key, without building the join.
-
-    Columns: those of :func:`key_states` with prefixes l_ and r_, ``pairs`` (rows of the inner join),
-    ``pair_sum`` (sum of left's value over them). Null keys join nothing, as in SQL, and keep their row.
-    """
-    a, b = key_states(left, keys, value, moment, "l_"), key_states(right, keys, value, moment, "r_")
-    joined = a.join(b.where("key_value IS NOT NULL"), ["field", "key_value"], "left")
-    matched: Column = F.coalesce("r_rows", F.lit(0))
-    return joined.withColumns({"r_rows": matched, "pairs": F.col("l_rows") * matched, "pair_sum": F.col("l_sum") * matched})
-
-
 def eager_key_stats(left: DataFrame, right: DataFrame, keys: list[str], value: str, moment: str) -> DataFrame:
-    """The states of every key of either side, null key included, and what joining the two would give per key.
+    """What joining left and right by each key would give per key, without building the join.
 
-    Columns as in :func:`eager_join_stats`, which keeps left's keys only. A key that one side lacks has 0 rows and
-    values there and no range; l_rows and r_rows of a field sum to the rows of the two tables. ``pairs`` and
-    ``pair_sum`` are 0 where a key is null or on one side only.
+    Columns: those of :func:`key_states` with prefixes l_ and r_, ``pairs`` (rows of the inner join), ``pair_sum``
+    (sum of left's value over them). Every key of either side has its row, the null key too: a key that one side
+    lacks has 0 rows and values there and no range, so l_rows and r_rows of a field sum to the rows of the two
+    tables. ``pairs`` and ``pair_sum`` are 0 where a key is null or on one side only.
     """
     a, b = key_states(left, keys, value, moment, "l_"), key_states(right, keys, value, moment, "r_")
-    # one aggregate over both sides' states merges them null-safely; each state has at most one row for a key
-    lacking = lambda own, other: own.select("*", *[F.lit(None).cast(other.schema[c].dataType).alias(c) for c in other.columns[2:]])
-    both = lacking(a, b).unionByName(lacking(b, a))
-    merged = both.groupBy("field", "key_value").agg(*[F.max(c).alias(c) for c in both.columns[2:]])
+    b = b.withColumnsRenamed({"field": "_field", "key_value": "_key"})
+    # the compact states meet null-safely, at most one of each side for a key
+    met = a.join(b, (F.col("field") == F.col("_field")) & F.col("key_value").eqNullSafe(F.col("_key")), "full")
     counts = [f"{p}_{c}" for p in "lr" for c in ("rows", "values")]
-    merged = merged.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    whole = met.withColumns({"field": F.coalesce("field", "_field"), "key_value": F.coalesce("key_value", "_key")} | {c: F.coalesce(c, F.lit(0)) for c in counts}).drop("_field", "_key")
     joins = F.col("key_value").isNotNull() & (F.col("l_rows") > 0) & (F.col("r_rows") > 0)
-    return merged.withColumns({"pairs": F.when(joins, F.col("l_rows") * F.col("r_rows")).otherwise(0), "pair_sum": F.when(joins, F.col("l_sum") * F.col("r_rows")).otherwise(0.0)})
+    return whole.withColumns({"pairs": F.when(joins, F.col("l_rows") * F.col("r_rows")).otherwise(0), "pair_sum": F.when(joins, F.coalesce("l_sum", F.lit(0.0)) * F.col("r_rows")).otherwise(0.0)})
 
 
 def heavy_keys(states: DataFrame, rows: str, least_share: float) -> DataFrame:

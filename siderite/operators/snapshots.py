@@ -5,8 +5,10 @@ with its neighbours' by EXCEPT ALL in both directions, and the residues are join
 removed and changed apart. All consecutive pairs go through one plan.
 
 Plan: a hash aggregate with map-side combine (a url that holds a third of all rows shrinks to one row per
-task before it moves), one exchange by url, and from there no further exchange: the signed count that is
-EXCEPT ALL in both directions and the co-grouped full join of its residues are both clustered by url.
+task before it moves) and its exchange by (snapshot, url), then one exchange of the states by url, and from
+there no further one: the signed count that is EXCEPT ALL in both directions and the co-grouped full join of
+its residues are both clustered by url. One exchange of all rows by url would save the second, but bring every
+row of a hot url to one task.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ MICRO_SHIFT = 10**17
 def state_code(price: Column, available: Column) -> Column:
     """Price in hundredths and availability as one BIGINT; null, NaN and infinite prices share the code of no price.
 
-    Prices beyond +-1e15 saturate there. A null ``available`` is a value of its own.
+    Prices from 1e15 on, whose hundredths no double tells apart, are told apart by a hash of their value. A null
+    ``available`` is a value of its own.
     """
     usable = price.isNotNull() & ~F.isnan(price) & (F.abs(price) < F.lit(float("inf")))
-    cents = F.round(F.least(F.greatest(price * 100, F.lit(-1e17)), F.lit(1e17))).cast("bigint") + F.lit(CENT_LIMIT + 1)
+    small = F.abs(price) < F.lit(CENT_LIMIT / 100.0)
+    hashed = F.pmod(F.xxhash64(price), F.lit(CENT_LIMIT)) + F.lit(2 * CENT_LIMIT + 2)
+    cents = F.when(small, F.round(F.when(small, price * 100)).cast("bigint") + F.lit(CENT_LIMIT + 1)).otherwise(hashed)
     flag = F.when(available.isNull(), 0).when(available, 2).otherwise(1)
     return F.when(usable, cents).otherwise(F.lit(0)).cast("bigint") * F.lit(3).cast("bigint") + flag
 

@@ -2,9 +2,10 @@
 
 What a title states is taken at its word. Where it states no mass, the unit of ``weight_g`` is missing: a
 random forest, fitted on a bounded sample of the listings whose titles do state one and calibrated on
-held-out ones by isotonic regression, predicts it from magnitude, seller, category and neighbouring fields.
-Confident predictions that agree with the seller's notes are converted; the others are marked for review and
-settled by the exact rule, the unit the notes give, else grams.
+held-out ones by isotonic regression, predicts it from magnitude, seller, category and neighbouring fields,
+what the seller's notes say among them. Confident predictions are converted; the others get no mass and are
+routed for review. An exact rule (the unit the notes give, else grams) follows as a check: it settles what is
+under review and says where the forest disagrees.
 
 Scale: titles are parsed once, into a narrow stored table; one scan of that for the sample (its size is a
 parameter and all that reaches the driver), one for the result;
@@ -25,8 +26,8 @@ from siderite.functions.units import GRAMS, note_unit, title_currency, unit_gram
 from siderite.session import stored
 
 UNITS = list(GRAMS)
-#: Listings that the classifier is fitted on and calibrated with, at most; a documented bound.
-FIT_ROWS, HELD_OUT_ROWS = 8_000, 4_000
+#: Listings that the classifier is fitted on, calibrated with and measured on, at most; a documented bound.
+FIT_ROWS, HELD_OUT_ROWS, MEASURED_ROWS = 8_000, 4_000, 4_000
 #: A prediction at this calibrated probability or more counts as confident.
 CONFIDENT = 0.98
 #: A recorded mass names its unit if the title's mass agrees with it this closely.
@@ -78,6 +79,7 @@ class UnitModel:
 
     def __init__(self, forest: RandomForestClassificationModel | None, isotonic: IsotonicRegressionModel | None, shares: DataFrame | None):
         self.forest, self.isotonic, self.shares = forest, isotonic, shares
+        self.unseen = None  # bounded labelled rows that neither fit nor calibration has seen
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
 
     @classmethod
@@ -85,7 +87,7 @@ class UnitModel:
         """Fits on the first rows of a fixed pseudo-random order; without labelled rows the model predicts nothing."""
         spark = parsed.sparkSession
         kept = ["source", "label", "weight_g", "price", "meteorite_type", "canonical_name_status", "note_unit"]
-        wanted = fit_rows + held_out_rows
+        wanted = fit_rows + held_out_rows + MEASURED_ROWS
         labelled = _labelled(parsed).select(*kept, F.xxhash64("id", "source", "weight_g").alias("draw"))
         # the draw is a uniform 64-bit number: below this bound lie about 1.5 times the rows wanted, so that no
         # task sorts or sends more than its share of them
@@ -95,19 +97,32 @@ class UnitModel:
         model = cls(None, None, None)
         if len(sample) < 50:
             return model
-        cut = len(sample) * fit_rows // (fit_rows + held_out_rows)
+        cut, end = len(sample) * fit_rows // wanted, len(sample) * (fit_rows + held_out_rows) // wanted
         seen = sample.iloc[:cut].groupby(["source", "label"]).size().unstack(fill_value=0)
         seen = seen.div(seen.sum(axis=1), axis=0).reindex(columns=range(len(UNITS)), fill_value=0.0)
         seen.columns = [f"f_seen_{u}" for u in UNITS]
         model.shares = spark.createDataFrame(seen.reset_index())
         schema = "source string, label int, weight_g double, price double, meteorite_type string, canonical_name_status string, note_unit string, draw bigint"
-        parts = [model._vectors(spark.createDataFrame(part.astype(object).where(part.notna(), None), schema)) for part in (sample.iloc[:cut], sample.iloc[cut:])]
+        whole = [spark.createDataFrame(part.astype(object).where(part.notna(), None), schema) for part in (sample.iloc[:cut], sample.iloc[cut:end], sample.iloc[end:])]
+        parts, model.unseen = [model._vectors(part) for part in whole[:2]], whole[2]
         forest = RandomForestClassifier(labelCol="label", numTrees=16, maxDepth=7, minInstancesPerNode=2, subsamplingRate=0.8, seed=11)
         model.forest = forest.fit(parts[0].coalesce(2))
         held_out = model._scored(parts[1]).select((F.col("predicted") == F.col("label")).cast("double").alias("right"), F.col("raw").alias("score"))
         model.isotonic = IsotonicRegression(featuresCol="score", labelCol="right", predictionCol="confidence").fit(held_out.coalesce(1))
         return model
 
+    def measured(self) -> DataFrame:
+        """(measure, value) on the labelled rows that the model hasn't seen: how many, accuracy, the share it is confident of and its
+        accuracy there, and the calibration error (mean difference of confidence and accuracy over tenths of the confidence)."""
+        if self.forest is None:
+            raise ValueError("nothing was fitted")
+        right = F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("unit")) - 1 == F.col("label")
+        judged = self.predict(self.unseen).select(right.cast("double").alias("right"), "confidence", (F.col("confidence") >= CONFIDENT).alias("sure"))
+        tenths = judged.groupBy(F.floor(F.col("confidence") * 10)).agg(F.count(F.lit(1)).alias("n"), F.sum("right").alias("right"), F.sum("confidence").alias("claimed"), F.count_if("sure").alias("sure"), F.sum(F.when(F.col("sure"), F.col("right"))).alias("sure_right"))
+        n = F.sum("n")
+        one = tenths.agg(n.cast("double").alias("rows"), (F.sum("right") / n).alias("accuracy"), (F.sum("sure") / n).alias("confident_share"), (F.sum("sure_right") / F.nullif(F.sum("sure"), F.lit(0))).alias("confident_accuracy"), (F.sum(F.abs(F.col("claimed") - F.col("right"))) / n).alias("calibration_error"))
+        return one.select(F.explode(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c))])).alias("measure", "value"))
+
     def _vectors(self, rows: DataFrame) -> DataFrame:
         return self.assembler.transform(_features(rows).join(self.shares, "source", "left").fillna(EMPTY_SHARES))
 
@@ -133,33 +148,54 @@ def open_rates(fx_rates: DataFrame, provider: str) -> DataFrame:
 
 
 def common_units(listings: DataFrame, sources: DataFrame, fx_rates: DataFrame, provider: str = "open board") -> DataFrame:
-    """One row for each listing row: id, source, weight_g, price_usd as recorded, and
+    """One row for each listing row: id, source, weight_g, price, price_usd as recorded, and
 
-    mass_g with mass_basis (``title``, ``predicted``, ``review``; null without any mass) and unit_confidence,
+    mass_g with mass_basis: ``title`` (as stated there), ``predicted`` (weight_g in the unit the forest is confident
+    of), ``review`` (not confident: no mass_g), null without any mass; unit and unit_confidence; rule_g, the
+    title's mass, else weight_g in the unit of the seller's notes, else in grams, which settles every row;
     usd (price in dollars at the provider's rate of fx_rate_date; null where price, unit or rate is unknown).
     """
+    return convert(*parsed_and_fitted(listings, sources), fx_rates, provider)
+
+
+def parsed_and_fitted(listings: DataFrame, sources: DataFrame) -> tuple[DataFrame, UnitModel]:
+    """The parsed listings, stored, and the model that was fitted on them."""
     parsed = stored(parsed_listings(listings, sources))  # each title is parsed once
-    model = UnitModel.fit(parsed)
+    return parsed, UnitModel.fit(parsed)
+
+
+def convert(parsed: DataFrame, model: UnitModel, fx_rates: DataFrame, provider: str = "open board") -> DataFrame:
+    """See :func:`common_units`; parsed: rows of :func:`parsed_listings`."""
     usable = parsed.withColumn("weight_g", F.when(~F.isnan("weight_g"), F.col("weight_g")))
     stated = usable.where("title_mass_g IS NOT NULL OR weight_g IS NULL")
     open_rows = model.predict(usable.where("title_mass_g IS NULL AND weight_g IS NOT NULL"))
-    sure = (F.col("confidence") >= CONFIDENT) & F.col("unit").eqNullSafe(F.col("note_unit"))
-    settled = open_rows.select(
-        *stated.columns, (F.col("weight_g") * unit_grams(F.when(sure, F.col("unit")).otherwise(F.col("note_unit")))).alias("mass_g"),
-        F.when(sure, "predicted").otherwise("review").alias("mass_basis"), F.col("confidence").alias("unit_confidence"),
+    sure = F.col("confidence") >= CONFIDENT
+    predicted = open_rows.select(
+        *stated.columns, F.when(sure, F.col("weight_g") * unit_grams(F.col("unit"))).alias("mass_g"), F.when(sure, "predicted").otherwise("review").alias("mass_basis"),
+        "unit", F.col("confidence").alias("unit_confidence"), (F.col("weight_g") * unit_grams(F.col("note_unit"))).alias("rule_g"),
     )
-    told = stated.select("*", F.col("title_mass_g").alias("mass_g"), F.when(F.col("title_mass_g").isNotNull(), "title").alias("mass_basis"), F.lit(1.0).alias("unit_confidence"))
-    rows = told.unionByName(settled).join(open_rates(fx_rates, provider), ["fx_rate_date", "currency_code"], "left")
-    return rows.select("id", "source", "weight_g", "price", "price_usd", "mass_g", "mass_basis", "unit_confidence", "currency_code", (F.col("price") * F.col("currency_scale") * F.col("rate")).alias("usd"))
+    mass = F.col("title_mass_g")
+    told = stated.select("*", mass.alias("mass_g"), F.when(mass.isNotNull(), "title").alias("mass_basis"), F.lit(None).cast("string").alias("unit"), F.lit(1.0).alias("unit_confidence"), mass.alias("rule_g"))
+    rows = told.unionByName(predicted).join(open_rates(fx_rates, provider), ["fx_rate_date", "currency_code"], "left")
+    return rows.select("id", "source", "weight_g", "price", "price_usd", "mass_g", "mass_basis", "unit", "unit_confidence", "rule_g", "note_unit", "currency_code", (F.col("price") * F.col("currency_scale") * F.col("rate")).alias("usd"))
 
 
 def wrong_values(converted: DataFrame) -> DataFrame:
     """(id, field): recorded grams or dollars that are off by more than 1 % from the converted ones.
 
-    A recorded value counts as wrong only if there is something to hold against it, a price_usd without a
-    price is wrong. Repeated rows give one case.
+    A mass is proposed where weight_g isn't the title's or the confidently predicted one, or its unit is under
+    review; the exact rule then checks what is proposed. A recorded value counts as wrong only if there is
+    something to hold against it; a price_usd without a price is wrong. Repeated rows give one case.
     """
-    mass = F.col("weight_g").isNotNull() & (F.abs(F.col("weight_g") - F.col("mass_g")) > OFF * F.abs(F.col("mass_g")))
-    usd = F.col("price_usd").isNotNull() & (F.col("price").isNull() | (F.abs(F.col("price_usd") - F.col("usd")) > OFF * F.abs(F.col("usd"))))
+    off = lambda given, true: F.abs(F.col(given) - F.col(true)) > OFF * F.abs(F.col(true))
+    proposed = (F.col("mass_basis") == "review") | off("weight_g", "mass_g")
+    mass = F.col("weight_g").isNotNull() & proposed & off("weight_g", "rule_g")
+    usd = F.col("price_usd").isNotNull() & (F.col("price").isNull() | off("price_usd", "usd"))
     fields = F.array_compact(F.array(F.when(mass, F.lit("weight_g")), F.when(usd, F.lit("price_usd"))))
     return converted.select("id", F.explode(fields).alias("field")).distinct()
+
+
+def basis_counts(converted: DataFrame) -> DataFrame:
+    """(mass_basis, note_named, listings, against_rule): how the masses came about, by whether the notes name a unit other than grams."""
+    against = F.abs(F.col("mass_g") - F.col("rule_g")) > OFF * F.abs(F.col("rule_g"))
+    return converted.groupBy("mass_basis", (F.col("note_unit") != "g").alias("note_named")).agg(F.count(F.lit(1)).alias("listings"), F.count_if(against).alias("against_rule"))

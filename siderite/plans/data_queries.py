@@ -1,20 +1,16 @@
-"""The queries of the general data problems: p1, p3, p5, p6."""
+"""The queries of the general data problems: p1, p3, p5."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siderite.operators import quantiles, skew, snapshots, units
+from siderite.operators import skew, snapshots, units
 from siderite.session import stored
 from siderite.sources.tables import table
 
 KEYS = ["source", "canonical_name"]
 HEAVY_SHARE = 0.05
-PROBABILITIES = [0.05, 0.25, 0.5, 0.75, 0.95]
-#: What each of the at most three steps (leaf, snapshot, all) may add to the rank error, as a share of n.
-RANK_SHARE = 0.002
-RANK_BOUND = 0.01
 
 
 def _common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +22,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _common_units(spark, sf_dir).select("id", "source", "mass_g", "mass_basis", "unit_confidence", "currency_code", "usd")
+    return _common_units(spark, sf_dir).select("id", "source", "mass_g", "mass_basis", "unit", "unit_confidence", "rule_g", "currency_code", "usd")
+
+
+def p1_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing with grams and dollars: the title's mass, else what the exact check settles."""
+    return _common_units(spark, sf_dir).select("id", "source", F.col("rule_g").alias("grams"), "usd")
+
+
+def p1_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings whose unit the forest isn't confident of, with its guess; none has a converted mass."""
+    return _common_units(spark, sf_dir).where("mass_basis = 'review'").select("id", "source", "weight_g", "price", "unit", "unit_confidence", "note_unit")
+
+
+def p1_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(measure, value): what the forest is worth on labelled rows it hasn't seen, and what it decided."""
+    parsed, model = units.parsed_and_fitted(table(spark, sf_dir, "listings"), table(spark, sf_dir, "sources"))
+    counts = units.basis_counts(units.convert(parsed, model, table(spark, sf_dir, "fx_rates")))
+    name = F.concat_ws("_", F.coalesce("mass_basis", F.lit("without_mass")), F.when(F.col("note_named"), "noted").otherwise("unnoted"))
+    told = counts.select(F.explode(F.create_map(name, F.col("listings").cast("double"), F.concat(name, F.lit("_against_rule")), F.col("against_rule").cast("double"))).alias("measure", "value"))
+    return model.measured().unionByName(told)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,57 +54,18 @@ def p3_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = table(spark, sf_dir, "listings"), table(spark, sf_dir, "listing_snapshots")
-    return skew.eager_join_stats(left, right, KEYS, "price_usd", "scraped_at")
+    return skew.eager_key_stats(left, right, KEYS, "price_usd", "scraped_at")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew.heavy_keys(p5_key_stats(spark, sf_dir), "l_rows", HEAVY_SHARE)
+    """Rolled up from the joined states of both tables, those that p5_key_ranges shows."""
+    return skew.heavy_keys(stored(p5_key_stats(spark, sf_dir)), "l_rows", HEAVY_SHARE)
 
 
 def p5_key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ranges and newest rows of every key of listings or listing_snapshots, the null key included."""
     shown = ["field", "key_value", "l_rows", "l_values", "l_min", "l_max", "l_newest", "r_rows", "r_values", "r_min", "r_max", "r_newest", "pairs"]
     return p5_key_stats(spark, sf_dir).select(shown)
 
 
-def p5_all_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, ranges and newest rows of every key of listings or listing_snapshots; p5_key_ranges has those of listings' keys."""
-    left, right = table(spark, sf_dir, "listings"), table(spark, sf_dir, "listing_snapshots")
-    shown = ["field", "key_value", "l_rows", "l_values", "l_min", "l_max", "l_newest", "r_rows", "r_values", "r_min", "r_max", "r_newest", "pairs"]
-    return skew.eager_key_stats(left, right, KEYS, "price_usd", "scraped_at").select(shown)
-
-
-def _snapshot_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "listing_snapshots").where("snapshot_id IS NOT NULL")
-    parts = quantiles.summaries(rows, KEYS, "price_per_g_usd", ["snapshot_id"], RANK_SHARE)
-    return quantiles.merge_summaries(parts, ["snapshot_id", "field", "key_value"], rows.rdd.getNumPartitions(), RANK_SHARE)
-
-
-def _over_all(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
-    runs = table(spark, sf_dir, "inventory_runs").count()
-    return quantiles.merge_summaries(parts, ["field", "key_value"], runs + 1, RANK_SHARE, "snapshot_id")
-
-
-def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each snapshot, and (snapshot_id null) of all, combined from the summaries of the single ones."""
-    parts = stored(_snapshot_summaries(spark, sf_dir))
-    single = quantiles.percentiles(parts, ["snapshot_id", "field", "key_value"], PROBABILITIES)
-    combined = quantiles.percentiles(_over_all(spark, sf_dir, parts), ["field", "key_value"], PROBABILITIES)
-    return single.unionByName(combined.withColumn("snapshot_id", F.lit(None).cast("int")))
-
-
-def p6_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each percentile's exact rank among all rows against the bound: (field, key_value, q, n, in_bound)."""
-    found = quantiles.percentiles(_over_all(spark, sf_dir, _snapshot_summaries(spark, sf_dir)), ["field", "key_value"], PROBABILITIES)
-    rows = table(spark, sf_dir, "listing_snapshots").where("price_per_g_usd IS NOT NULL AND NOT isnan(price_per_g_usd) AND snapshot_id IS NOT NULL")
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("key_value")) for k in KEYS])).alias("k"), "price_per_g_usd").select("k.*", "price_per_g_usd")
-    # equal values are counted before the join, so a hot key meets its few percentiles with one row for each value
-    counted = long.groupBy("field", "key_value", "price_per_g_usd").agg(F.count(F.lit(1)).alias("c"))
-    beside = counted.join(found, ["field", "key_value"])
-    below = F.sum(F.when(F.col("price_per_g_usd") < F.col("value"), F.col("c")).otherwise(0))
-    upto = F.sum(F.when(F.col("price_per_g_usd") <= F.col("value"), F.col("c")).otherwise(0))
-    ranks = beside.groupBy("field", "key_value", "q", "n", "rank").agg(below.alias("below"), upto.alias("upto"))
-    off = F.greatest(F.col("below") + 1 - F.col("rank"), F.col("rank") - F.col("upto"), F.lit(0))
-    return ranks.select("field", "key_value", "q", "n", (off <= F.ceil(F.lit(RANK_BOUND) * F.col("n"))).alias("in_bound"))
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_common_units, p3_found, p3_change_counts, p5_found, p5_key_ranges, p5_all_ranges, p6_percentiles, p6_rank_check)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common_units, p1_settled, p1_review, p1_model, p3_found, p3_change_counts, p5_found, p5_key_ranges)}

@@ -51,11 +51,6 @@ SQL = {
         GROUP BY canonical_name HAVING count(*) >= 0.05 * (SELECT count(*) FROM listings)
     """,
     "p5_key_ranges": f"""
-        WITH {_STATES.format(p='l', t='listings')}, {_STATES.format(p='r', t='listing_snapshots')}
-        SELECT l.*, coalesce(r_rows, 0) AS r_rows, r_values, r_min, r_max, r_newest, l_rows * coalesce(r_rows, 0) AS pairs
-        FROM lstate l LEFT JOIN rstate r ON l.field = r.field AND l.key_value = r.key_value
-    """,
-    "p5_all_ranges": f"""
         WITH {_STATES.format(p='l', t='listings')}, {_STATES.format(p='r', t='listing_snapshots')}
         SELECT coalesce(l.field, r.field) AS field, coalesce(l.key_value, r.key_value) AS key_value,
                coalesce(l_rows, 0) AS l_rows, coalesce(l_values, 0) AS l_values, l_min, l_max, l_newest,
@@ -63,15 +58,6 @@ SQL = {
                CASE WHEN l.key_value = r.key_value THEN l_rows * r_rows ELSE 0 END AS pairs
         FROM lstate l FULL JOIN rstate r ON l.field = r.field AND l.key_value IS NOT DISTINCT FROM r.key_value
     """,
-    "p6_rank_check": """
-        WITH long AS (
-            SELECT 'source' AS field, source AS key_value FROM listing_snapshots WHERE price_per_g_usd IS NOT NULL AND NOT isnan(price_per_g_usd) AND snapshot_id IS NOT NULL
-            UNION ALL SELECT 'canonical_name', canonical_name FROM listing_snapshots WHERE price_per_g_usd IS NOT NULL AND NOT isnan(price_per_g_usd) AND snapshot_id IS NOT NULL
-        )
-        SELECT field, key_value, q, count(*) AS n, TRUE AS in_bound
-        FROM long, (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.25 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.75 AS DOUBLE)), (CAST(0.95 AS DOUBLE))) p(q)
-        WHERE key_value IS NOT NULL GROUP BY field, key_value, q
-    """,
 }
 
 
@@ -110,7 +96,7 @@ STATED_MASS = f"""matched AS (
                    WHEN g.n = '' OR g.r <> '' THEN NULL ELSE ({_number('g.n', "unit IN ('g', 'mg', 'ct')")}) * {_GRAMS_OF.format('unit')} END AS w FROM measured
 ), stated AS (SELECT *, CASE WHEN w > 0 THEN w END AS title_g FROM weighed)"""
 
-SQL["p1_found"] = f"""
+_CONVERTED = f"""
 WITH notes AS (SELECT name AS source, min({_NOTES}) AS declared FROM sources GROUP BY name),
 rates AS (
     SELECT rate_date, currency AS code, rate_to_usd AS rate FROM fx_rates WHERE provider = 'open board'
@@ -125,7 +111,11 @@ rates AS (
     FROM (SELECT *, {_CODE} AS code, {_SCALE} AS scale FROM stated) s
     LEFT JOIN notes n ON s.source = n.source LEFT JOIN rates r ON s.fx_rate_date = r.rate_date AND s.code = r.code
 )
+"""
+
+SQL["p1_found"] = f"""{_CONVERTED}
 SELECT DISTINCT id, 'weight_g' AS field FROM converted WHERE weight_g IS NOT NULL AND abs(weight_g - mass_g) > 0.01 * abs(mass_g)
 UNION ALL
 SELECT DISTINCT id, 'price_usd' FROM converted WHERE price_usd IS NOT NULL AND (price IS NULL OR abs(price_usd - usd) > 0.01 * abs(usd))
 """
+SQL["p1_settled"] = f"{_CONVERTED} SELECT id, source, mass_g AS grams, usd FROM converted"

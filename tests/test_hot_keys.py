@@ -16,7 +16,7 @@ def test_snapshots_with_a_hot_url(spark):
 
 def test_aggregates_of_a_hot_key_combine_before_they_move(spark):
     rows = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("source"), F.col("id").cast("double").alias("price_usd"), F.timestamp_seconds("id").alias("scraped_at"), F.col("id").alias("seq"))
-    stats = skew.eager_join_stats(rows, rows, ["source"], "price_usd", "scraped_at")
+    stats = skew.eager_key_stats(rows, rows, ["source"], "price_usd", "scraped_at")
     assert {r["key_value"]: r["pairs"] for r in stats.where("l_rows > 1").collect()} == {"hot": 9_000_000}
     assert merge.last_wins(rows, ["source"], "seq").where("source = 'hot'").first()["seq"] == 8_997
     assert merge.first_wins(rows, ["source"], "seq").count() == 6_001

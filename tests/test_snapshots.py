@@ -3,8 +3,10 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from siderite.functions.urls import plain_url
-from siderite.operators.snapshots import snapshot_changes
+from siderite.operators.snapshots import latest_states, snapshot_changes
 
 SCHEMA = "snapshot_id int, url string, price double, available boolean, scraped_at timestamp, change string"
 T = lambda h: dt.datetime(2026, 5, 1, h)
@@ -55,3 +57,22 @@ def test_against_brute_force(spark):
         old, new = ({u: v for (x, u), v in state.items() if x == k} for k in (s - 1, s))
         want += [(s, u, "added") for u in new.keys() - old.keys()] + [(s, u, "removed") for u in old.keys() - new.keys()] + [(s, u, "changed") for u in new.keys() & old.keys() if new[u] != old[u]]
     assert changes(spark, rows) == sorted(want)
+
+
+def test_against_literal_except_all_and_full_join(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 3), f"https://a.example/{i % 40}", rng.choice([None, 1.0, 2.5, 1e15, 1e15 + 1, -3e16, float("inf")]), rng.choice([True, False, None]), T(0) + dt.timedelta(seconds=i), "x") for i in range(300)]
+    states = latest_states(spark.createDataFrame(rows, SCHEMA)).cache()
+    want = []
+    for s in (2, 3):
+        old, new = (states.where(f"snapshot_id = {k}").select("url", "state") for k in (s - 1, s))
+        gone, come = old.exceptAll(new).select("url", F.lit(1).alias("o")), new.exceptAll(old).select("url", F.lit(1).alias("n"))
+        for r in gone.join(come, "url", "full").collect():
+            want.append((s, r["url"], "changed" if r["o"] and r["n"] else "added" if r["n"] else "removed"))
+    assert changes(spark, rows) == sorted(want)
+
+
+def test_huge_prices_are_told_apart(spark):
+    u = "https://a.example/"
+    rows = [(1, u + "a", 1e15, True, T(1), "x"), (2, u + "a", 2e15, True, T(2), "x"), (1, u + "b", 1e300, True, T(1), "x"), (2, u + "b", 1e300, True, T(2), "x"), (1, u + "c", -1e18, True, T(1), "x"), (2, u + "c", 1e18, True, T(2), "x"), (1, u + "d", 9.9e14, True, T(1), "x"), (2, u + "d", 9.9e14 + 1, True, T(2), "x")]
+    assert changes(spark, rows) == [(2, u + "a", "changed"), (2, u + "c", "changed"), (2, u + "d", "changed")]

@@ -66,6 +66,23 @@ def test_missing_units_are_predicted_and_wrong_values_found(spark):
     assert found == want
 
 
+def test_predictions_decide_and_uncertain_rows_are_routed(spark, monkeypatch):
+    listings, sources, rates = inputs(spark)
+    parsed, model = units.parsed_and_fitted(listings, sources)
+    sure = units.convert(parsed, model, rates).where("mass_basis = 'predicted'")
+    # the forest has learned ounces from the titles, so it converts them also where the notes say nothing
+    silent = units.convert(parsed.withColumn("note_unit", F.lit("g")), model, rates).where("source = 'ounce shop' AND mass_basis = 'predicted'")
+    assert sure.count() > 0 and sure.where("abs(mass_g - rule_g) > 0.01 * rule_g").count() == 0
+    assert silent.where("abs(mass_g - weight_g) < 0.01 * weight_g").count() == 0 or silent.count() == 0
+    monkeypatch.setattr(units, "CONFIDENT", 1.1)  # nothing is certain
+    routed = units.convert(parsed, model, rates)
+    assert routed.where("mass_basis = 'predicted'").count() == 0 and routed.where("mass_basis = 'review' AND mass_g IS NOT NULL").count() == 0
+    assert routed.where("mass_basis = 'review' AND weight_g IS NOT NULL AND rule_g IS NULL").count() == 0
+    monkeypatch.undo()
+    told = {r["measure"]: r["value"] for r in model.measured().collect()}
+    assert told["rows"] > 0 and told["accuracy"] > 0.95 and told["calibration_error"] < 0.05
+
+
 def test_held_out_accuracy(spark):
     listings, sources, _ = inputs(spark, 1500)
     parsed = units.parsed_listings(listings, sources).cache()
