@@ -134,7 +134,11 @@ def map_names(listings: DataFrame, official_names: DataFrame, name_aliases: Data
     other columns are ignored, an empty list gives 0 throughout. A null id has no row.
     """
     rows = listings.where("id IS NOT NULL").select("id", "title")
-    wordy = stored(name_words(rows, "title", "words").select("id", F.coalesce("words", F.lit("")).alias("words")))
+    return map_words(stored(name_words(rows, "title", "words").select("id", F.coalesce("words", F.lit("")).alias("words"))), official_names, name_aliases)
+
+
+def map_words(wordy: DataFrame, official_names: DataFrame, name_aliases: DataFrame) -> DataFrame:
+    """(id, code) as :func:`map_names` has it, for rows (id, words) whose name words are known and stored."""
     forms = stored(listed_forms(official_names, name_aliases))
     spans = stored(name_spans(wordy.select("words").distinct().where("words <> ''")))
     known = forms.select("form").distinct()

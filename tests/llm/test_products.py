@@ -46,3 +46,36 @@ def test_nulls_repeats_and_empty_tables(spark):
     found = products.find_pairs(spark.createDataFrame(rows, schema), official, aliases).collect()
     assert sorted(tuple(r) for r in found) == [("a", "b"), ("b", "c")]
     assert products.find_pairs(spark.createDataFrame([], schema), official, aliases).count() == 0
+
+
+def test_links_are_counted_without_pairs(spark):
+    tables = [table(spark, SF, t) for t in ("listings", "official_names", "name_aliases")]
+    pairs = [tuple(r) for r in products.find_pairs(*tables).collect()]
+    groups = {r["id"]: r for r in products.group_pieces(*tables).collect()}
+    for a, b in pairs:
+        assert groups[a]["piece"] == groups[b]["piece"]
+    count: dict = {}
+    for x in (i for p in pairs for i in p):
+        count[x] = count.get(x, 0) + 1
+    assert {i: r["links"] for i, r in groups.items() if r["links"]} == count
+    assert all(r["piece"] <= i and r["piece"] in groups for i, r in groups.items())
+
+
+def test_one_piece_with_a_third_of_the_listings(spark):
+    from pyspark.sql import functions as F
+
+    hot = F.col("i") % 3 == 0
+    title = F.when(hot, F.concat(F.lit("Hirnchoskha 5."), (F.col("i") % 2).cast("string"), F.lit(" g 1 x 2 x 3 mm"))).otherwise(F.concat(F.lit("Hirnchoskha 7 g 1 x 2 x "), F.col("i"), F.lit(" mm")))
+    rows = spark.range(3_000).withColumnRenamed("id", "i").select(F.format_string("i%05d", "i").alias("id"), F.concat(F.lit("s"), F.col("i") % 5).alias("source"), title.alias("title"), F.lit("Hirnchoskha").alias("canonical_name"), F.lit("metbull_verified").alias("canonical_name_status"))
+    official = spark.createDataFrame([(1, "Hirnchoskha", "Hirnchoskha", None, "Official")], "code bigint, name string, display_name string, abbrev string, status string")
+    out = products.group_pieces(rows, official, spark.createDataFrame([], "alias string, code bigint"))
+    got = {(r["piece"], r["n"], r["l"]) for r in out.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.max("links").alias("l")).collect()}
+    assert got == {("i00000", 500, 400), ("i00003", 500, 400)}
+
+
+def test_the_vote_names_clusters_and_ties_merge_them(spark):
+    schema = "id string, source string, code bigint, mass_g double, size_key string, collection_key string, name_at double, size_at double, collection_at double"
+    rows = [("a", "s1", 1, 5.0, "1x2x3", "h|1", 0.1, 0.5, 0.9), ("b", "s2", 1, 5.0, "1x2x3", None, 0.1, 0.5, 0.9), ("c", "s3", 1, 5.0, None, "h|1", 0.1, 0.5, 0.9), ("d", "s4", 1, 5.0, "1x2x3", "h|1", 0.1, 0.5, 0.9), ("e", "s5", 2, 5.0, "1x2x3", "h|1", 0.1, 0.5, 0.9)]
+    votes = products.voted(products.combinations(spark.createDataFrame(rows, schema))).cache()
+    assert {r["id"]: r["combination"] for r in votes.collect()} == {"a": "n1|s1x2x3|ch|1", "b": "n1|s1x2x3", "c": "n1|ch|1", "d": "n1|s1x2x3|ch|1", "e": "|s1x2x3|ch|1"}
+    assert sorted(tuple(r) for r in products.same_piece_pairs(votes).collect()) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "d"), ("c", "d")]
