@@ -7,31 +7,39 @@ the expected number of uses of each of its texts: the whole part is used for sur
 sampling with that probability, in order of size. What a source's drawn tokens are still off is evened out
 with a few texts used once more or less, so that the amount comes out within a small text.
 
-The size of a mix is a parameter; by default it is that of the mix's texts, once each. A source that has too
-little even at max_repeats gives all it may, and the report says so; the others keep their own amounts, which
-are target share x size.
-
-Scale: texts are read for counting tokens only. The cell table is as long as sources x languages x topics; it
-is raked by a group for each mix. Sampling runs in windows over small salted groups whose running totals are
-offset by those of the groups before, so no source is one task.
+Shares sum to one, so a source that falls short puts all others above their shares. By default a mix therefore
+is as large as its texts, once each, or else as its scarcest source allows at max_repeats: every source that
+has texts gets its share. ``total_tokens`` sets another size; then a source that has too little gives all it may.
+A text longer than what its source may give at that size isn't used, as one use would overshoot the share.
+
+Scale: texts are read for counting tokens only. The cell table is as long as sources x languages x topics x
+classes of size; it is raked by a group for each mix. Sampling runs in windows over small salted groups whose
+running totals are offset by those of the groups before, so no source is one task; the salt grows with the source.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siderite.session import small_side, stored
 
 ROUNDS, TOLERANCE = 200, 1e-9
-#: Salt of the sampling groups; more spread a hot source over more tasks.
-SALT = 16
+#: Sampling groups of a source: so many for each class, language and topic at least, and so many texts in one at most on average.
+SALT, GROUP_TEXTS = 16, 20_000
+#: Candidates of each class of size for evening out; what is left to even out is about one text.
+CANDIDATES = 16
 
 CELL = ["source", "lang", "topic"]
 
 
+def size_class(tokens: Column) -> Column:
+    """Classes of size that span a factor of the root of two."""
+    return F.floor(F.log2(tokens) * 2).cast("int")
+
+
 def rake(cells: pd.DataFrame, size: float, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the cells (columns source, lang, topic, tokens, target_share, max_repeats) for ``size`` tokens.
 
@@ -71,24 +79,53 @@ def rake(cells: pd.DataFrame, size: float, rounds: int = ROUNDS) -> np.ndarray:
     return weight
 
 
+def mix_size(classes: pd.DataFrame, total: float | None) -> tuple[float, np.ndarray]:
+    """(size, usable): the tokens of a mix, and which classes (source, size_class, tokens, target_share, max_repeats) may be used.
+
+    The size is ``total``, else the mix's tokens, or what the scarcest source allows. A class whose texts may be
+    longer than what its source gives at that size isn't used.
+    """
+    source = pd.factorize(classes["source"])[0]
+    tokens, cap = classes["tokens"].to_numpy(float), classes["max_repeats"].to_numpy(float)
+    share = np.bincount(source, classes["target_share"].to_numpy(float)) / np.bincount(source)
+    longest = 2.0 ** ((classes["size_class"].to_numpy(float) + 1) / 2)
+    size = float(total or tokens.sum())
+    while True:  # the size only shrinks, so that the usable classes only become fewer
+        usable = longest <= share[source] * size
+        can = np.bincount(source, tokens * cap * usable)
+        allowed = size if total else min([size, *(can / share)[can > 0]])
+        if allowed >= size * (1 - 1e-9):
+            return size, usable
+        size = allowed
+
+
 def mix_weights(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(mix, source, lang, topic, weight, budget, max_repeats): expected uses of each text of a cell, tokens of its source.
+    """(mix, source, lang, topic, size_class, weight, budget, max_repeats, texts): expected uses of each text of a cell, tokens and texts of its source.
 
-    sized: doc_id, source, lang, topic, tokens (> 0); null language or topic is a value of its own. targets:
-    mix, source, target_share, max_repeats. A source that a mix names twice counts with the sum of its
-    shares and the smallest max_repeats; one without texts has no row.
+    sized: mix, doc_id, source, lang, topic, tokens (> 0). targets: as :func:`wishes` gives them. Cells that can't be
+    used, and sources without texts, have no row.
     """
-    wishes = targets.where("mix IS NOT NULL AND source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("mix", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
-    cells = sized.groupBy(*CELL).agg(F.sum("tokens").alias("tokens"))
+    cells = sized.groupBy("mix", *CELL, size_class(F.col("tokens")).alias("size_class")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(CELL).reset_index(drop=True)
-        size = float(total_tokens or rows["tokens"].sum())
-        weight = rake(rows, size)
-        budget = (rows["tokens"] * weight).groupby(rows["source"]).transform("sum")
-        return rows[["mix", *CELL]].assign(weight=weight, budget=budget, max_repeats=rows["max_repeats"])
+        rows = rows.sort_values([*CELL, "size_class"]).reset_index(drop=True)
+        size, usable = mix_size(rows, float(total_tokens) if total_tokens else None)
+        rows = rows[usable]
+        out = ["mix", *CELL, "size_class", "weight", "budget", "max_repeats", "texts"]
+        if rows.empty:
+            return rows.assign(weight=0.0, budget=0.0)[out]
+        whole = rows.groupby(["mix", *CELL], as_index=False).agg(tokens=("tokens", "sum"), target_share=("target_share", "first"), max_repeats=("max_repeats", "first"))
+        whole = whole.assign(weight=rake(whole, size))
+        whole = whole.assign(budget=(whole["tokens"] * whole["weight"]).groupby(whole["source"]).transform("sum"))
+        texts = rows.groupby("source")["texts"].transform("sum")
+        return rows.assign(texts=texts).merge(whole[[*CELL, "weight", "budget"]], on=CELL)[out]
 
-    return cells.join(wishes, "source").groupBy("mix").applyInPandas(run, "mix string, source string, lang string, topic string, weight double, budget double, max_repeats int")
+    return cells.join(targets, ["mix", "source"]).groupBy("mix").applyInPandas(run, "mix string, source string, lang string, topic string, size_class int, weight double, budget double, max_repeats int, texts bigint")
+
+
+def wishes(targets: DataFrame) -> DataFrame:
+    """(mix, source, target_share, max_repeats): a source that a mix names twice counts with the sum of its shares and the smallest max_repeats."""
+    return targets.where("mix IS NOT NULL AND source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("mix", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
 
 
 def sample(sized: DataFrame, weights: DataFrame) -> DataFrame:
@@ -99,7 +136,9 @@ def sample(sized: DataFrame, weights: DataFrame) -> DataFrame:
     text whose sum passes a whole number is drawn.
     """
     order = ["size_class", "lang", "topic", "salt"]
-    rows = sized.join(weights, CELL).select("mix", "doc_id", "source", "lang", "topic", "tokens", "budget", "max_repeats", F.floor("weight").alias("sure"), (F.col("weight") - F.floor("weight")).alias("part"), F.floor(F.log2("tokens") * 2).cast("int").alias("size_class"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
+    salts = F.greatest(F.lit(SALT), F.ceil(F.col("texts") / GROUP_TEXTS))
+    keyed = sized.withColumn("size_class", size_class(F.col("tokens")))
+    rows = keyed.join(weights, ["mix", *CELL, "size_class"]).select("mix", "doc_id", "source", "lang", "topic", "tokens", "budget", "max_repeats", "size_class", F.floor("weight").alias("sure"), (F.col("weight") - F.floor("weight")).alias("part"), F.pmod(F.xxhash64("doc_id"), salts).alias("salt"))
     rows = stored(rows)
     groups = rows.groupBy("mix", "source", *order).agg(F.sum("part").alias("held"))
     before = F.sum("held").over(Window.partitionBy("mix", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
@@ -122,7 +161,7 @@ def even_out(drawn: DataFrame) -> DataFrame:
     near = drawn.join(small_side(stored(gap)), ["mix", "source"])  # one row for each target
     may = F.when(F.col("gap") > 0, F.col("copies") < F.col("max_repeats")).otherwise(F.col("copies") > 0)
     place = Window.partitionBy("mix", "source", "size_class", "salt").orderBy(F.xxhash64("doc_id", "mix"), "doc_id")
-    sized = near.where(may & (F.col("tokens") <= F.abs("gap"))).select("mix", "source", "doc_id", "tokens", "gap", F.floor(F.log2("tokens") * 2).cast("int").alias("size_class"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("salt"))
+    sized = near.where(may & (F.col("tokens") <= F.abs("gap"))).select("mix", "source", "doc_id", "tokens", "gap", size_class(F.col("tokens")).alias("size_class"), F.pmod(F.xxhash64("doc_id"), F.lit(CANDIDATES)).alias("salt"))
     candidates = sized.withColumn("place", F.row_number().over(place)).where("place = 1")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
@@ -142,15 +181,19 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -
     """(mix, doc_id, source, tokens, copies), copies > 0: see :func:`mix_weights`, :func:`sample` and :func:`even_out`.
 
     Rows without doc_id, source or tokens take no part; missing languages and topics are ``unknown``. Where
-    sized has a ``text_key``, equal texts are one text: the row of the smallest doc_id stands for all, so that
-    max_repeats holds for the text and not for each time it was fetched.
+    sized has a ``text_key``, equal texts are one text in each mix: the row of the smallest doc_id among the mix's own
+    sources stands for all, so that max_repeats holds for the text and not for each time it was fetched.
     """
     usable = sized.where("doc_id IS NOT NULL AND source IS NOT NULL AND tokens > 0")
-    if "text_key" in sized.columns:
+    named = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
+    keys = [c for c in ("text_key",) if c in sized.columns]
+    wanted = stored(wishes(targets))
+    own = usable.select("doc_id", "source", named("lang"), named("topic"), "tokens", *keys).join(small_side(wanted.select("mix", "source")), "source")
+    if keys:
         first = F.min(F.struct("doc_id", "source", "lang", "topic", "tokens")).alias("x")
-        usable = stored(usable.groupBy("text_key").agg(first).select("x.*"))
-    usable = usable.select("doc_id", "source", F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("topic", F.lit("unknown")).alias("topic"), "tokens")
-    drawn = even_out(sample(usable, mix_weights(usable, targets, total_tokens)))
+        own = own.groupBy("mix", "text_key").agg(first).select("mix", "x.*")
+    own = stored(own.select("mix", "doc_id", *CELL, "tokens"))
+    drawn = even_out(sample(own, mix_weights(own, wanted, total_tokens)))
     return drawn.where("copies > 0").select("mix", "doc_id", "source", "tokens", "copies")
 
 
@@ -162,3 +205,26 @@ def share_report(selection: DataFrame, targets: DataFrame) -> DataFrame:
     joined = wishes.join(used, ["mix", "source"], "left").join(totals, "mix", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select("mix", "source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"), zero("tokens"), zero("texts"), zero("most_copies"))
+
+
+def mix_faults(selection: DataFrame, targets: DataFrame, sized: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(mix, sources, strangers, repeated, texts_twice, off_share): how often a selection breaks its rules.
+
+    strangers: selected texts of sources that the mix doesn't name; repeated: texts used more often than max_repeats;
+    texts_twice: equal texts under two doc_ids; off_share: sources with texts whose tokens are off
+    by more than ``tolerance`` of the mix's and by more than a text of theirs. sized: doc_id, source, text_key, tokens.
+    """
+    wanted = wishes(targets)
+    total = selection.groupBy("mix").agg(F.sum(F.col("tokens") * F.col("copies")).alias("total"))
+    beside = selection.join(wanted, ["mix", "source"], "left").join(sized.select("doc_id", "text_key"), "doc_id")
+    rows = beside.groupBy("mix").agg(F.count_if(F.col("target_share").isNull()).alias("strangers"), F.count_if(F.col("copies") > F.col("max_repeats")).alias("repeated"))
+    twice = beside.groupBy("mix", "text_key").agg(F.count(F.lit(1)).alias("n")).groupBy("mix").agg(F.count_if(F.col("n") > 1).alias("texts_twice"))
+    held = selection.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("held"), F.max("tokens").alias("longest"))
+    known = wanted.join(sized.where("tokens > 0").groupBy("source").agg(F.min("tokens").alias("shortest")), "source")
+    here = known.groupBy("mix").agg(F.sum("target_share").alias("reachable"))
+    shares = known.join(held, ["mix", "source"], "left").join(total, "mix", "left").join(here, "mix")
+    off = F.abs(F.coalesce("held", F.lit(0)) - F.col("total") * F.col("target_share") / F.col("reachable")) > F.greatest(F.col("total") * tolerance, F.coalesce("longest", F.lit(0)), F.col("shortest"))
+    near = shares.groupBy("mix").agg(F.count_if(F.coalesce(off, F.lit(True))).alias("off_share"))
+    named = wanted.groupBy("mix").agg(F.count(F.lit(1)).alias("sources"))
+    joined = named.join(rows, "mix", "left").join(twice, "mix", "left").join(near, "mix", "left")
+    return joined.select("mix", "sources", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("strangers", "repeated", "texts_twice", "off_share")])

@@ -2,10 +2,12 @@
 
 Texts are spread over blocks of a bounded size by a hash of their id; each block is packed by several islands,
 each with a population of packings. Crossover injects whole well-filled containers of one parent into the
-other, drops the containers that held the same texts, and best-fits the displaced ones. Between rounds the
-elites migrate to the next island of the block. When the rounds end, each block's best packing stands; its
-worst-filled containers are dissolved, pooled with those of other blocks, and packed again in the same way,
-level by level, until one block is left, so that unused space doesn't grow with the number of blocks.
+other, drops the containers that held the same texts, exchanges one or two texts of the others for displaced
+ones that fill them better, and best-fits what is left; mutation dissolves some containers and puts their texts
+back in the same way. Between rounds the elites migrate to the next island of the block; rounds end when no
+block has gained a container. Each block's best packing stands; its worst-filled containers are dissolved,
+pooled with those of other blocks, and packed again in the same way, level by level, until one block is left,
+so that unused space doesn't grow with the number of blocks.
 
 A text longer than the capacity, and no other, is split: into full containers and one rest that is packed as
 a text of its own. Every text is placed, whatever its size.
@@ -22,13 +24,13 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siderite.session import stored
 
-BLOCK_ITEMS = 1_000
-ISLANDS, ROUNDS, OFFSPRING, POPULATION = 2, 2, 30, 6
+BLOCK_ITEMS = 4_000
+ISLANDS, ROUNDS, OFFSPRING, POPULATION = 2, 4, 30, 6
 #: Blocks whose worst containers are pooled, and the share of a block's containers that is dissolved.
 POOL, DISSOLVED = 16, 0.06
 
@@ -56,8 +58,58 @@ def fitness(bins: Packing, sizes: list[int], capacity: int) -> float:
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def exchange(bins: Packing, fills: list[int], free: list[int], sizes: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Swaps one or two texts of containers for one or two free ones that leave less room; returns what is free then.
+
+    Each swap fills its container better and frees smaller texts, which are easier to place.
+    """
+    pool = sorted((sizes[i], i) for i in free)
+    order = [b for b in range(len(bins)) if fills[b] < capacity]
+    rng.shuffle(order)
+    for b in order:
+        if not pool:
+            break
+        held = bins[b]
+        picks = [(i,) for i in held] + [(held[0], i) for i in held[1:]] if len(held) > 1 else [(i,) for i in held]
+        best, room = None, capacity - fills[b]
+        for out in picks:
+            freed = sum(sizes[i] for i in out)
+            most = freed + room
+            at = bisect_left(pool, (most + 1, -1)) - 1  # the largest free text that fits
+            if at >= 0 and pool[at][0] > freed and (best is None or pool[at][0] - freed > best[0]):
+                best = (pool[at][0] - freed, out, (at,))
+            low, high = 0, len(pool) - 1
+            while low < high:  # the two free ones that fit best together
+                both = pool[low][0] + pool[high][0]
+                if both > most:
+                    high -= 1
+                    continue
+                if both > freed and (best is None or both - freed > best[0]):
+                    best = (both - freed, out, (low, high))
+                low += 1
+            if best and best[0] == room:
+                break
+        if best:
+            gain, out, taken = best
+            moved = [pool[k][1] for k in taken]
+            for k in sorted(taken, reverse=True):
+                pool.pop(k)
+            bins[b] = [i for i in held if i not in out] + moved
+            fills[b] += gain
+            for i in out:
+                insort(pool, (sizes[i], i))
+    return [i for _, i in pool]
+
+
+def placed(bins: Packing, free: list[int], sizes: list[int], capacity: int, rng: random.Random) -> Packing:
+    """bins with the free texts put back: by exchange while that fills containers, the rest by best fit."""
+    fills = [sum(sizes[i] for i in x) for x in bins]
+    best_fit(bins, fills, exchange(bins, fills, free, sizes, capacity, rng), sizes, capacity)
+    return bins
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """a with some of the best-filled containers of b, whole; texts they displace are best-fitted."""
+    """a with some of the best-filled containers of b, whole; texts they displace are put back."""
     by_fill = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
     good = by_fill[: max(1, len(by_fill) // 2)]
     injected = rng.sample(good, max(1, len(good) // 3))
@@ -68,8 +120,16 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
             bins.append(list(x))
         else:
             displaced += [i for i in x if i not in taken]
-    best_fit(bins, [sum(sizes[i] for i in x) for x in bins], displaced, sizes, capacity)
-    return bins
+    return placed(bins, displaced, sizes, capacity, rng)
+
+
+def mutate(a: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
+    """a with its worst-filled and some other containers dissolved and their texts put back."""
+    by_fill = sorted(a, key=lambda x: sum(sizes[i] for i in x))
+    few = max(2, len(a) // 40)
+    opened = [*range(min(few, len(a))), *rng.sample(range(len(a)), min(few, len(a)))]
+    gone = set(opened)
+    return placed([list(x) for k, x in enumerate(by_fill) if k not in gone], [i for k in gone for i in by_fill[k]], sizes, capacity, rng)
 
 
 def evolve(sizes: list[int], capacity: int, population: list[Packing], offspring: int, rng: random.Random) -> list[Packing]:
@@ -98,7 +158,7 @@ def evolve(sizes: list[int], capacity: int, population: list[Packing], offspring
         if len(population[0]) == least or len(population) < 2:
             break
         a, b = rng.sample(population[: max(2, len(population) // 2 + 1)], 2)
-        child = crossover(a, b, sizes, capacity, rng)
+        child = crossover(a, b, sizes, capacity, rng) if rng.random() < 0.5 else mutate(population[0], sizes, capacity, rng)
         population[-1] = child
         score[id(child)] = fitness(child, sizes, capacity)
     return sorted(population, key=lambda p: (len(p), -fitness(p, sizes, capacity)))
@@ -147,14 +207,19 @@ def pack_blocks(items: DataFrame, islands: int = ISLANDS, rounds: int = ROUNDS,
     state = blocks.select("container", "capacity", "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("held.size").alias("sizes"), F.array().cast("array<array<int>>").alias("elites"))
     # islands are little data and much work: a fixed number of tasks keeps the optimizer from joining them to few
     lanes = 3 * items.sparkSession.sparkContext.defaultParallelism
+    fewest = None
     for number in range(rounds):
-        state = state.repartition(lanes, "container", "block", "island").mapInArrow(_island_round(number, offspring), _ISLAND)
-        if number < rounds - 1:
-            # each island takes the next one's best along with its own
-            ring = state.withColumn("from", F.pmod(F.col("island") + 1, F.lit(islands)))
-            sent = state.select("container", "block", F.col("island").alias("from"), F.slice("elites", 1, 1).alias("guests"))
-            state = ring.join(sent, ["container", "block", "from"]).select("container", "capacity", "block", "island", "sizes", F.concat("elites", "guests").alias("elites"))
-            state = stored(state)
+        state = stored(state.repartition(lanes, "container", "block", "island").mapInArrow(_island_round(number, offspring), _ISLAND))
+        # one number: how many containers the best packings of all blocks have
+        best_of = state.groupBy("container", "block").agg(F.min(F.array_max(F.get("elites", F.lit(0)))).alias("n"))
+        bins = best_of.agg(F.sum("n").alias("n")).first()["n"]
+        if bins == fewest or number == rounds - 1:
+            break
+        fewest = bins
+        # each island takes the next one's best along with its own
+        ring = state.withColumn("from", F.pmod(F.col("island") + 1, F.lit(islands)))
+        sent = state.select("container", "block", F.col("island").alias("from"), F.slice("elites", 1, 1).alias("guests"))
+        state = ring.join(sent, ["container", "block", "from"]).select("container", "capacity", "block", "island", "sizes", F.concat("elites", "guests").alias("elites"))
     used = F.array_max(F.get("elites", F.lit(0)))
     best = state.groupBy("container", "block").agg(F.min_by(F.get("elites", F.lit(0)), F.struct(used, "island")).alias("labels"))
     placed = blocks.join(best, ["container", "block"]).select("container", "capacity", "block", F.explode(F.arrays_zip("held", "labels")).alias("x"))
@@ -184,8 +249,7 @@ def pack(sizes: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS
     blocks = {r["container"]: max(1, math.ceil(r["n"] / block_items)) for r in counted}
     if not blocks:
         return split
-    per_kind = F.create_map(*[F.lit(x) for k, n in blocks.items() for x in (k, n)])[F.col("container")]
-    items = loose.select("container", "capacity", "doc_id", "part", "tokens", F.pmod(F.xxhash64("doc_id", "part"), per_kind).alias("block"))
+    items = loose.select("container", "capacity", "doc_id", "part", "tokens", F.pmod(F.xxhash64("doc_id", "part"), _per_kind(blocks)).alias("block"))
     level, left, done = 0, max(blocks.values()), []
     while True:
         packed = stored(pack_blocks(items, **effort))
@@ -199,8 +263,11 @@ def pack(sizes: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS
         opened = fill.select("container", "block", "bin", (worst <= DISSOLVED).alias("opened"))
         marked = stored(packed.join(opened, ["container", "block", "bin"]))
         done.append(marked.where("NOT opened").select("container", "doc_id", "part", named))
-        items = marked.where("opened").select("container", "capacity", "doc_id", "part", "tokens", F.floor(F.col("block") / POOL).alias("block"))
-        left, level = math.ceil(left / POOL), level + 1
+        # as many blocks as keep the opened texts bounded, but fewer than before, so that one is left in the end
+        freed = {r["container"]: r["n"] for r in marked.where("opened").groupBy("container").agg(F.count(F.lit(1)).alias("n")).collect()}
+        blocks = {k: max(1, min(math.ceil(freed.get(k, 0) / block_items), math.ceil(n / POOL))) for k, n in blocks.items()}
+        items = marked.where("opened").select("container", "capacity", "doc_id", "part", "tokens", F.pmod(F.xxhash64("block", "bin"), _per_kind(blocks)).alias("block"))
+        left, level = max(blocks.values()), level + 1
     binned = done[0]
     for d in done[1:]:
         binned = binned.unionByName(d)
@@ -208,9 +275,30 @@ def pack(sizes: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS
     return split.unionByName(placed.select("container", "bin_id", "doc_id", "part", "token_start", (F.col("token_start") + F.col("tokens")).alias("token_end")))
 
 
+def _per_kind(numbers: dict[str, int]) -> Column:
+    """A number for each kind of container, as a literal map."""
+    return F.create_map(*[F.lit(x) for k, n in numbers.items() for x in (k, n)])[F.col("container")]
+
+
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, capacity, bins, tokens, fewest_bins, fill): fewest_bins is what the tokens need at least."""
     kinds = containers.groupBy("container").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
     bins = packed.groupBy("container", "bin_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("held"))
     total = bins.groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("held").alias("tokens")).join(kinds, "container")
     return total.select("container", "capacity", "bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("fewest_bins"), (F.col("tokens") / (F.col("bins") * F.col("capacity"))).alias("fill"))
+
+
+def placement_faults(packed: DataFrame, sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container, texts, overfull, torn, lost): the texts placed, and how often a packing breaks its rules.
+
+    overfull: containers beyond their capacity; torn: texts in parts though they fit whole; lost: texts whose parts
+    don't cover each of their tokens once. sizes: unique doc_id, tokens.
+    """
+    kinds = containers.groupBy("container").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
+    over = packed.groupBy("container", "bin_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("held")).join(kinds, "container").groupBy("container").agg(F.count_if(F.col("held") > F.col("capacity")).alias("overfull"))
+    # parts cover a text once if they reach its end, are as long together, and each begins where another ends
+    parts = packed.groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.col("token_end") - F.col("token_start")).alias("held"), F.max("token_end").alias("end"), F.min("token_start").alias("start"), F.sum("token_start").alias("starts"), F.sum("token_end").alias("ends"))
+    met = sizes.where("tokens > 0").select("doc_id", "tokens").join(parts, "doc_id", "left").join(kinds, "container", "left")
+    whole = (F.col("held") == F.col("tokens")) & (F.col("end") == F.col("tokens")) & (F.col("start") == 0) & (F.col("ends") - F.col("starts") == F.col("tokens"))
+    each = met.groupBy("container").agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("torn"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("lost"))
+    return each.join(over, "container").select("container", "texts", "overfull", "torn", "lost")

@@ -25,6 +25,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.map_names(unknown, table(spark, sf_dir, "official_names"), table(spark, sf_dir, "name_aliases"))
 
 
+def p2_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of the listings whose name is given, from their titles alone."""
+    verified = table(spark, sf_dir, "listings").where("canonical_name_status = 'metbull_verified'")
+    return names.map_names(verified, table(spark, sf_dir, "official_names"), table(spark, sf_dir, "name_aliases"))
+
+
 def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, sf_dir, "listings"), table(spark, sf_dir, "official_names"), table(spark, sf_dir, "name_aliases")
 
@@ -43,6 +49,13 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.group_pieces(*_three(spark, sf_dir))
 
 
+def p4_verified_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With how many listings of other sellers each listing whose name is given agrees, counted without pairs."""
+    listings, names_, aliases = _three(spark, sf_dir)
+    groups = products.group_pieces(listings.where("canonical_name_status = 'metbull_verified'"), names_, aliases)
+    return groups.where("links > 0").select("id", "links")
+
+
 def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -88,9 +101,19 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
-def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of container the texts placed, and how often the packing breaks a rule."""
+    sizes, kinds = _token_sizes(spark, sf_dir), table(spark, sf_dir, "container_sizes")
+    return packing.placement_faults(packing.pack(sizes, kinds), sizes, kinds)
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("kind").alias("topic"), F.md5("text").alias("text_key"), "text")
-    return mixing.mix(stored(tokens.token_counts(documents)), table(spark, sf_dir, "mix_targets"))
+    return stored(tokens.token_counts(documents))
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +124,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each mix how often the selection breaks a rule."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.mix_faults(mixing.mix(sized, targets), targets, sized)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_documents(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
 
@@ -109,7 +138,7 @@ def p9_cut_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(truncation.cut_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_groups, p4_verified_pairs, p6_percentiles, p6_rank_check, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_cut_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_verified, p4_found, p4_groups, p4_verified_pairs, p4_verified_links, p6_percentiles, p6_rank_check, p7_containers, p7_fill, p7_checks, p8_selection, p8_shares, p8_checks, p9_found, p9_cut_shares)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,9 +11,8 @@ _COLLECTIONS = [f"\\bex {_HOUSE} coll\\. #(\\d+)", f"\\bcoll\\. {_HOUSE} (\\d+)"
 _COLLECTION = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN lower(regexp_extract(t, '{p}', 1)) || '|' || regexp_extract(t, '{p}', 2) END" for p in _COLLECTIONS) + ")"
 _EDGE = "CAST(round(TRY_CAST(replace(d.{0}, ',', '.') AS DOUBLE) * CASE WHEN lower(d.u) = 'cm' THEN 10000 ELSE 1000 END) AS BIGINT)".format
 
-SQL: dict[str, str] = {
-    # listings with a given name need no name mapping, which is all of p4 that SQL can't do
-    "p4_verified_pairs": f"""
+#: Listings with a given name need no name mapping, which is all of p4 that SQL can't do.
+_PAIRS = f"""
         WITH clean AS (
             SELECT DISTINCT id, source, canonical_name, regexp_replace(title, '\\s{{2,}}', ' ', 'g') AS t, {CLEAN_TITLE} AS x
             FROM listings WHERE canonical_name_status = 'metbull_verified' AND id IS NOT NULL AND source IS NOT NULL AND title IS NOT NULL
@@ -25,6 +24,23 @@ SQL: dict[str, str] = {
         )
         SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM keyed a JOIN keyed b ON a.code = b.code AND a.id < b.id AND a.source <> b.source
         WHERE (a.size = b.size OR a.collection = b.collection) AND abs(a.title_g - b.title_g) <= 0.005 * greatest(a.title_g, b.title_g)
+    """
+
+SQL: dict[str, str] = {
+    "p4_verified_pairs": _PAIRS,
+    "p4_verified_links": f"WITH p AS ({_PAIRS}) SELECT id, count(*) AS links FROM (SELECT id_a AS id FROM p UNION ALL SELECT id_b FROM p) GROUP BY id",
+    # the given name is what the title must map to
+    "p2_verified": """
+        WITH o AS (SELECT name, CASE WHEN count(DISTINCT code) = 1 AND bool_or(status = 'Official') THEN max(code) ELSE 0 END AS code FROM official_names GROUP BY name)
+        SELECT l.id, max(coalesce(o.code, 0)) AS code FROM listings l LEFT JOIN o ON l.canonical_name = o.name
+        WHERE l.canonical_name_status = 'metbull_verified' AND l.id IS NOT NULL GROUP BY l.id
+    """,
+    # rules a packing and a selection must keep, whatever they are
+    "p7_checks": """
+        SELECT container, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0) AS texts, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS lost FROM container_sizes
+    """,
+    "p8_checks": """
+        SELECT mix, count(DISTINCT source) AS sources, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS texts_twice, CAST(0 AS BIGINT) AS off_share FROM mix_targets GROUP BY mix
     """,
     "p6_rank_check": """
         WITH long AS (

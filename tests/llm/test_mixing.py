@@ -22,10 +22,10 @@ def test_shares_are_reached(spark):
     rows = corpus()
     sized = spark.createDataFrame(rows, SIZED)
     targets = spark.createDataFrame([("m", "big", 0.5, 2), ("m", "mid", 0.4, 3), ("m", "tiny", 0.1, 4), ("n", "mid", 1.0, 1), ("n", "none", 0.5, 1), (None, "big", 1.0, 1)], TARGETS)
-    drawn = mixing.mix(sized, targets).collect()
+    size = sum(r[4] for r in rows if r[0] is not None and r[1] is not None and r[4])
+    drawn = mixing.mix(sized, targets, size).collect()
     caps = {("m", "big"): 2, ("m", "mid"): 3, ("m", "tiny"): 4, ("n", "mid"): 1}
     assert all(0 < r["copies"] <= caps[(r["mix"], r["source"])] for r in drawn) and len({(r["mix"], r["doc_id"]) for r in drawn}) == len(drawn)
-    size = sum(r[4] for r in rows if r[0] is not None and r[1] is not None and r[4])
     held = lambda m, s: sum(r["tokens"] * r["copies"] for r in drawn if (r["mix"], r["source"]) == (m, s))
     assert abs(held("m", "big") - 0.5 * size) < 60 and abs(held("m", "mid") - 0.4 * size) < 60
     assert held("m", "tiny") == 4 * sum(r[4] for r in rows if r[1] == "tiny")
@@ -56,3 +56,29 @@ def test_equal_texts_are_one(spark):
     sized = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, tokens bigint, text_key string")
     drawn = {r["doc_id"]: r["copies"] for r in mixing.mix(sized, spark.createDataFrame([("m", "a", 1.0, 2)], TARGETS), 1000).collect()}
     assert drawn == {0: 2, 3: 2, 4: 2, 5: 2}
+
+
+def test_the_scarcest_source_sets_the_size_by_default(spark):
+    rows = corpus()
+    sized = spark.createDataFrame([(*r[:5], f"k{i}") for i, r in enumerate(rows)], "doc_id bigint, source string, lang string, topic string, tokens bigint, text_key string")
+    targets = spark.createDataFrame([("m", "big", 0.5, 2), ("m", "mid", 0.4, 3), ("m", "tiny", 0.1, 4), ("n", "big", 0.6, 1), ("n", "none", 0.4, 1)], TARGETS)
+    drawn = mixing.mix(sized, targets)
+    held = {(r["mix"], r["source"]): r["t"] for r in drawn.selectExpr("mix", "source", "tokens * copies AS t").groupBy("mix", "source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "t").collect()}
+    tiny = 4 * sum(r[4] for r in rows if r[1] == "tiny")
+    assert held["m", "tiny"] == tiny and abs(held["m", "big"] - 5 * tiny) < 200 and abs(held["m", "mid"] - 4 * tiny) < 200
+    faults = {r["mix"]: tuple(r)[1:] for r in mixing.mix_faults(drawn, targets, sized).collect()}
+    assert faults == {"m": (3, 0, 0, 0, 0), "n": (2, 0, 0, 0, 0)}
+
+
+def test_texts_longer_than_a_budget_are_not_used(spark):
+    rows = [(i, "a", "en", "x", 10) for i in range(100)] + [(200 + i, "b", "en", "x", 10) for i in range(20)] + [(300, "b", "en", "x", 5_000)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, tokens bigint")
+    drawn = mixing.mix(sized, spark.createDataFrame([("m", "a", 0.9, 3), ("m", "b", 0.1, 3)], TARGETS), 1_000).collect()
+    held = {s: sum(r["tokens"] * r["copies"] for r in drawn if r["source"] == s) for s in "ab"}
+    assert held == {"a": 900, "b": 100} and 300 not in {r["doc_id"] for r in drawn}
+
+
+def test_a_text_of_several_sources_serves_each_mix_from_its_own(spark):
+    sized = spark.createDataFrame([(1, "other", "en", "x", 10, "k"), (2, "a", "en", "x", 10, "k"), (3, "a", "en", "x", 10, "l")], "doc_id bigint, source string, lang string, topic string, tokens bigint, text_key string")
+    drawn = mixing.mix(sized, spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS), 20).collect()
+    assert {r["doc_id"] for r in drawn} == {2, 3}

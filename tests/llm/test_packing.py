@@ -56,4 +56,27 @@ def test_token_counts(spark):
     got = {r["doc_id"]: r["tokens"] for r in tokens.token_counts(rows).collect()}
     code = tokens.encoder()
     assert got[0] == len(code.encode_ordinary(texts[0])) and got[1] == got[2] == 0 and got[5] > 1
-    assert got[3] == len(code.encode_ordinary(texts[3])) and got[4] > 1000
+    assert got[3] == len(code.encode_ordinary(texts[3])) and got[4] == len(code.encode_ordinary(texts[4]))
+
+
+def test_long_runs_count_as_the_tokenizer_counts_them():
+    code = tokens.encoder()
+    for text in ("-" * 5_000, "9" * 5_000, "x" + " " * 4_000 + "y", " " * 3_000, "a\n" * 2_000 + "\n" * 2_500, "a" + "\t " * 1_500 + "\nb" + " " * 1_000, " " * 1_200 + "q" + " " * 1_200):
+        assert tokens.count_tokens(code, text) == len(code.encode_ordinary(text)), text[:5]
+    assert tokens.count_tokens(code, "-" * 5_000) == 79
+    assert tokens.count_tokens(code, " " * 2_000_000 + "end") > 1_000  # the pattern alone can't hold such a run
+
+
+def test_blocks_of_few_containers_end(spark):
+    sizes = spark.range(400).selectExpr("id AS doc_id", "cast(1 + id % 3 AS bigint) AS tokens")
+    boxes = spark.createDataFrame([("wide", 5_000), ("tight", 9)], "container string, capacity_tokens int")
+    packed = packing.pack(sizes, boxes, block_items=20, offspring=4).cache()
+    assert {r["container"]: tuple(r)[1:] for r in packing.placement_faults(packed, sizes, boxes).collect()} == {"wide": (400, 0, 0, 0), "tight": (400, 0, 0, 0)}
+    assert packed.where("container = 'wide'").select("bin_id").distinct().count() == 1
+
+
+def test_exchange_fills_containers():
+    rng = random.Random(3)
+    bins, fills = [[0, 1]], [90]
+    free = packing.exchange(bins, fills, [2, 3], [50, 40, 45, 30], 100, rng)
+    assert sorted(bins[0] + free) == [0, 1, 2, 3] and fills == [sum([50, 40, 45, 30][i] for i in bins[0])] and 90 < fills[0] <= 100
