@@ -80,23 +80,19 @@ def rake(cells: pd.DataFrame, size: float, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def mix_size(classes: pd.DataFrame, total: float | None) -> tuple[float, np.ndarray]:
-    """(size, usable): the tokens of a mix, and which classes (source, size_class, tokens, target_share, max_repeats) may be used.
+    """(size, usable): the tokens of a mix, and which classes (source, size_class, tokens, longest, target_share, max_repeats) may be used.
 
-    The size is ``total``, else the mix's tokens, or what the scarcest source allows. A class whose texts may be
-    longer than what its source gives at that size isn't used.
+    The size is ``total``, else the mix's tokens, or what the scarcest source allows. A class with a text longer than
+    what its source gives at that size isn't used; that may leave a source short, but doesn't shrink the mix again.
     """
     source = pd.factorize(classes["source"])[0]
-    tokens, cap = classes["tokens"].to_numpy(float), classes["max_repeats"].to_numpy(float)
+    tokens, cap, longest = (classes[c].to_numpy(float) for c in ("tokens", "max_repeats", "longest"))
     share = np.bincount(source, classes["target_share"].to_numpy(float)) / np.bincount(source)
-    longest = 2.0 ** ((classes["size_class"].to_numpy(float) + 1) / 2)
     size = float(total or tokens.sum())
-    while True:  # the size only shrinks, so that the usable classes only become fewer
-        usable = longest <= share[source] * size
-        can = np.bincount(source, tokens * cap * usable)
-        allowed = size if total else min([size, *(can / share)[can > 0]])
-        if allowed >= size * (1 - 1e-9):
-            return size, usable
-        size = allowed
+    can = np.bincount(source, tokens * cap * (longest <= share[source] * size))
+    if not total:
+        size = min([size, *(can / share)[can > 0]])
+    return size, longest <= share[source] * size
 
 
 def mix_weights(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -105,7 +101,7 @@ def mix_weights(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     sized: mix, doc_id, source, lang, topic, tokens (> 0). targets: as :func:`wishes` gives them. Cells that can't be
     used, and sources without texts, have no row.
     """
-    cells = sized.groupBy("mix", *CELL, size_class(F.col("tokens")).alias("size_class")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))
+    cells = sized.groupBy("mix", *CELL, size_class(F.col("tokens")).alias("size_class")).agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.count(F.lit(1)).alias("texts"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*CELL, "size_class"]).reset_index(drop=True)
