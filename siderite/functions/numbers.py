@@ -13,23 +13,30 @@ def _bare(text: Column) -> Column:
     return F.trim(F.translate(text, " ", ""))
 
 
+def _in_thousands(whole: Column, mark: str) -> Column:
+    """Whether a mark parts a whole number into its thousands."""
+    parts = F.split(whole, "[" + mark + "]")
+    return (F.size(parts) > 1) & F.length(parts[0]).between(1, 3) & F.forall(F.slice(parts, 2, F.size(parts)), lambda x: x.rlike("^[0-9]{3}$"))
+
+
 def number(text: Column) -> Column:
     """1,234.5 and 1,234 part thousands, a lone comma otherwise the decimals; a leading comma or point means 0."""
-    led = F.regexp_replace(_bare(text), r"^(?=[.,])", "0")
-    thousands = led.rlike(r"^[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?$")
-    decimal = F.contains(led, F.lit(",")) & ~F.contains(led, F.lit("."))
-    return F.when(~thousands & decimal, F.translate(led, ",", ".")).otherwise(F.translate(led, ",", "")).try_cast("double")
+    bare = _bare(text)
+    led = F.concat(F.when(F.substring(bare, 1, 1).isin(",", "."), "0").otherwise(""), bare)
+    decimal = ~_in_thousands(F.substring_index(led, ".", 1), ",") & (F.instr(led, ".") == 0)
+    return F.replace(led, F.lit(","), F.when(decimal, ".").otherwise("")).try_cast("double")
 
 
 def price_number(text: Column, european: bool = False) -> Column:
     """Commas part thousands; with ``european`` 1.234,56 and 12,5 have decimal commas."""
     bare = _bare(text)
-    english = F.translate(bare, ",", "")
     if not european:
-        return english.try_cast("double")
-    grouped = bare.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]{1,2})?$")
-    decimal = F.contains(bare, F.lit(",")) & ~F.contains(bare, F.lit("."))
-    return F.when(grouped, F.translate(F.translate(bare, ".", ""), ",", ".")).when(decimal, F.translate(bare, ",", ".")).otherwise(english).try_cast("double")
+        return F.replace(bare, F.lit(","), F.lit("")).try_cast("double")
+    cents = F.length(F.substring_index(bare, ",", -1)) <= 2
+    grouped = _in_thousands(F.substring_index(bare, ",", 1), ".") & ((F.instr(bare, ",") == 0) | cents)
+    decimal = grouped | (F.instr(bare, ".") == 0)
+    tight = F.when(grouped, F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
+    return F.replace(tight, F.lit(","), F.when(decimal, ".").otherwise("")).try_cast("double")
 
 
 def inferred_price(text: Column) -> Column:

@@ -67,13 +67,27 @@ def slug(prefix: str, value: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
 
 
-#: Words in an image's url that mark decoration, not a picture of the piece.
-DECORATION = r"(?i)favicon|ajax-loader|logo|spinner|counter|placeholder|sold\.jpg"
+#: What in an image's url marks decoration, not a picture of the piece.
+DECORATION = ["favicon", "ajax-loader", "logo", "spinner", "counter", "placeholder", "sold.jpg", "heart/enabled", "heart/disabled", "reddot", "red dot", "red%20dot"]
+
+
+def _names_any(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def remote_url(url: Column) -> Column:
+    """Whether a url can be fetched: http or https with a host."""
+    return F.coalesce(F.lower(F.substring_index(url, ":", 1)).isin("http", "https") & (host(url) != ""), F.lit(False))
+
+
+def decorative(url: Column) -> Column:
+    """Whether an image's url names decoration; null says nothing."""
+    return F.coalesce(_names_any(F.lower(url), DECORATION), F.lit(False))
 
 
 def image_list(urls: Column) -> Column:
     """http(s) urls in order, each once, without decoration."""
-    return F.array_distinct(F.filter(F.array_compact(urls), lambda u: u.rlike(r"(?i)^https?://[^/\s]+") & ~u.rlike(DECORATION)))
+    return F.array_distinct(F.filter(F.array_compact(urls), lambda u: remote_url(u) & ~decorative(u)))
 
 
 def resolved(df: DataFrame, base: str, url: str, out: str) -> DataFrame:
@@ -106,10 +120,13 @@ def around(text: Column, pattern: str, before: int, after: int) -> Column:
     return F.when(at > 0, F.substring(text, F.greatest(at - before, F.lit(1)), F.least(at - 1, F.lit(before)) + F.length(F.regexp_extract(text, pattern, 0)) + after))
 
 
-#: What says that a piece is gone; ``sold by`` names a seller.
-GONE = r"(?i)\b(?:on\s+hold|reserved|unavailable|discontinued)\b|\bsold\b(?![\s-]+by\b)|\bout[\s_-]*of[\s_-]*stock\b"
+#: What says that a piece is gone; ``sold by`` names a seller and says nothing.
+GONE = ["on hold", "reserved", "unavailable", "discontinued", "out of stock", "outofstock", "sold"]
+NOT_GONE = "sold by"
 
 
 def unavailable(text: Column) -> Column:
     """Whether a text says that a piece is gone; null says nothing."""
-    return F.coalesce(text.rlike(GONE), F.lit(False))
+    spoken = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    spoken = F.replace(spoken, F.lit(f" {NOT_GONE} "), F.lit(" "))
+    return F.coalesce(_names_any(spoken, [f" {w} " for w in GONE]), F.lit(False))

@@ -13,14 +13,6 @@ from siderite.functions.units import with_title_mass
 from siderite.operators.enrich import rounded
 from siderite.sources.schemas import LISTING
 
-#: What in a title may be a subtype; each is brought to one form by the classification.
-SUBTYPE_TOKEN = (
-    r"(?i)(?<![\w/-])((?:H/L|L/LL|H/LL|LL|L|H)\s?-?[3-7](?:\.\d)?(?:\s?[/-]\s?[3-7](?:\.\d)?)?|C[IMOVRKHB]\s?-?\d(?:\.\d)?|C\s?-?[123]\s?-\s?ung|E[HL]\s?-?[3-7](?:[/-](?:E[HL])?[3-7])?|R\s?-?[3-6](?:-[3-6])?|"
-    r"IIA|IAB|IIAB|IIIAB|IIIE-AN|IVA|IVB|IIE|PAL\s?-?MG|PMG|Eucrite(?:\s?-\s?(?:mmict|unbr|pmict|br|melt breccia))?|Diogenite|Howardite|Ureilite|Aubrite|Angrite|Brachinite|Shergottite|Nakhlite|Chassignite|"
-    r"Octahedrite|Ataxite|Hexahedrite|Acapulcoite|Lodranite|Winonaite|Mesosiderite|Lunar \([^)]*\))(?![\w/])"
-)
-
-
 def confidence(evidence: list[Column]) -> Column:
     """high for four facts that are known, medium for two or three, else low."""
     points = sum((F.coalesce(e, F.lit(False)).cast("int") for e in evidence), F.lit(0))
@@ -47,10 +39,10 @@ def listings_from(offers: DataFrame, official: DataFrame, rates: DataFrame, pars
     entries = official.where("status = 'Official'").select("code", "name", "display_name", "type")
     spelled = entries.select("*", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("display_name")))).alias("spelling"))
     words = F.split(F.lower("title"), " ")
-    heads = rows.select("url", "title", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(4))), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("spelling"))
+    heads = rows.select("url", "title", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("spelling"))
     named = heads.join(spelled, "spelling").groupBy("url", "title").agg(F.max(F.struct(F.length("spelling").alias("l"), "code", "name", "display_name", "type")).alias("n"))
     rows = rows.join(named, ["url", "title"], "left").join(rates, "currency", "left")
-    rows = rows.withColumn("_subtype", F.coalesce(taxonomy.canonical_subtype(F.col("n.type")), taxonomy.best_subtype(F.regexp_extract_all("title", F.lit(SUBTYPE_TOKEN), 1))))
+    rows = rows.withColumn("_subtype", F.coalesce(taxonomy.canonical_subtype(F.col("n.type")), taxonomy.best_subtype(taxonomy.subtype_tokens(F.col("title")))))
     rows = rows.withColumns({"_family": F.coalesce(taxonomy.family_of(F.col("_subtype")), F.lit("unknown")), "_usd": rounded(F.col("price") * F.col("rate"), 2), "_images": text.image_list(F.col("image_urls"))})
     mass, priced = F.col("title_mass_g"), F.col("price") > 0
     ratio = lambda value: F.when((mass > 0) & priced, rounded(value / mass, 4))
