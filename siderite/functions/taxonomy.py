@@ -6,6 +6,8 @@ grammar takes it apart, and value tables say what the parts mean. Everything is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,68 +62,93 @@ _GROUPED = {group: family for family, groups in GROUPS.items() for group in grou
 _SAYS = {name: n for part in (VAGUE, EXACT) for n, names in part.items() for name in names}
 
 
+def _let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` of a value that is worked out once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def compact(token: Column) -> Column:
     return F.regexp_replace(F.upper(F.coalesce(token, F.lit(""))), r"\s+", "")
 
 
 def _parts(token: Column) -> Column:
     """A struct (group, first, mark, again, second, family) of a token of the grammar; family is null for any other."""
-    at = lambda i: F.regexp_extract(token, _GRAMMAR, i)
-    family = _table(_GROUPED)[F.nullif(at(1), F.lit(""))]
-    fits = lambda number: F.instr(_table(TYPES)[family], F.substring(number, 1, 1)) > 0
-    # only enstatite chondrites name their group twice, only the groups of one family have ranges
-    again = (at(4) == "") | (at(1).isin("EH", "EL") & at(4).isin("EH", "EL") & (at(3) != ""))
-    ranged = (at(5) == "") | ((family != "carbonaceous chondrite") & ~F.contains(at(1), F.lit("/")) & fits(at(5)))
-    whole = (at(5) != "") | ((at(3) == "") & (at(4) == ""))
-    usable = fits(at(2)) & again & ranged & whole
-    return F.struct(at(1).alias("group"), at(2).alias("first"), at(3).alias("mark"), at(4).alias("again"), at(5).alias("second"), F.when(usable, family).alias("family"))
+    names = ["group", "first", "mark", "again", "second"]
+    cut = F.struct(*[F.regexp_extract(token, _GRAMMAR, i + 1).alias(n) for i, n in enumerate(names)])
+
+    def judged(p: Column) -> Column:
+        family = _table(_GROUPED)[F.nullif(p["group"], F.lit(""))]
+        return F.struct(*[p[n].alias(n) for n in names], family.alias("kin"), _table(TYPES)[family].alias("types"))
+
+    def told(p: Column) -> Column:
+        fits = lambda number: F.instr(p["types"], F.substring(number, 1, 1)) > 0
+        # only enstatite chondrites name their group twice, only the groups of one family have ranges
+        again = (p["again"] == "") | (p["group"].isin("EH", "EL") & p["again"].isin("EH", "EL") & (p["mark"] != ""))
+        ranged = (p["second"] == "") | ((p["kin"] != "carbonaceous chondrite") & ~F.contains(p["group"], F.lit("/")) & fits(p["second"]))
+        whole = (p["second"] != "") | ((p["mark"] == "") & (p["again"] == ""))
+        return F.struct(*[p[n].alias(n) for n in names], F.when(fits(p["first"]) & again & ranged & whole, p["kin"]).alias("family"))
+
+    return _let(_let(cut, judged), told)
 
 
 def lunar_lithology(token: Column) -> Column:
     """The lithology of ``Lunar (x)`` or of x itself; null if it is none."""
-    inner = F.regexp_extract(F.lower(F.trim(token)), r"^lunar\s*\((.*)\)$", 1)
-    text = F.regexp_replace(F.trim(F.when(inner != "", inner).otherwise(F.lower(F.trim(token)))), r"\s+", " ")
-    return F.when(text.isin(LUNAR), text)
+    inner = F.regexp_replace(F.lower(F.trim(token)), r"^lunar\s*\((.*)\)$", "$1")
+    return _let(F.regexp_replace(F.trim(inner), r"\s+", " "), lambda text: F.when(text.isin(LUNAR), text))
 
 
 def canonical_subtype(token: Column) -> Column:
     """One spelling for each subtype: L 5 and L-5 are L5, H56 is H5-6, C 2-ung is C2-UNG; unknown ones in capitals."""
-    tight = F.regexp_replace(F.trim(token), r"\s*([/-])\s*", "$1")
-    c = compact(tight)
-    p = _parts(c)
-    mark = F.when(p["second"] == "", "").when(p["group"].isin("EH", "EL"), "/").when(p["mark"] == "", "-").otherwise(p["mark"])
-    rebuilt = F.when(p["family"].isNotNull() & (p["group"] != "R"), F.concat(p["group"], p["first"], mark, p["again"], p["second"]))
-    named = F.when(_table(_NAMED)[c].isNotNull(), F.coalesce(_table(WRITTEN)[c], c))
-    return F.coalesce(lunar_lithology(token), named, rebuilt, F.nullif(F.upper(tight), F.lit("")))
+
+    def rebuilt(p: Column) -> Column:
+        mark = F.when(p["second"] == "", "").when(p["group"].isin("EH", "EL"), "/").when(p["mark"] == "", "-").otherwise(p["mark"])
+        return F.when(p["family"].isNotNull() & (p["group"] != "R"), F.concat(p["group"], p["first"], mark, p["again"], p["second"]))
+
+    def written(c: Column) -> Column:
+        named = F.when(_table(_NAMED)[c].isNotNull(), F.coalesce(_table(WRITTEN)[c], c))
+        return F.coalesce(named, _let(_parts(c), rebuilt))
+
+    def spelled(tight: Column) -> Column:
+        return F.coalesce(_let(compact(tight), written), F.nullif(F.upper(tight), F.lit("")))
+
+    return F.coalesce(lunar_lithology(token), _let(F.regexp_replace(F.trim(token), r"\s*([/-])\s*", "$1"), spelled))
 
 
 def family_of(subtype: Column) -> Column:
     """The family of a subtype; null for an unknown one."""
-    c = compact(subtype)
-    lunar = lunar_lithology(subtype).isNotNull() | F.lower(F.trim(subtype)).rlike(r"^lunar(?:\s+meteorite)?$")
-    return F.when(lunar, "lunar").otherwise(F.coalesce(_table(_NAMED)[c], _parts(c)["family"]))
+    lunar = lambda t: lunar_lithology(t).isNotNull() | F.lower(F.trim(t)).rlike(r"^lunar(?:\s+meteorite)?$")
+    known = lambda c: F.coalesce(_table(_NAMED)[c], _parts(c)["family"])
+    return _let(subtype, lambda t: F.when(lunar(t), "lunar").otherwise(_let(compact(t), known)))
 
 
 def precedence(subtype: Column) -> Column:
     """How much a subtype says; 0 for none."""
-    c = compact(subtype)
-    parted = F.contains(c, F.lit("/")) | F.contains(c, F.lit("-")) | F.contains(c, F.lit("UNG")) | F.contains(c, F.lit("MELT"))
-    said = F.coalesce(F.when(lunar_lithology(subtype).isNotNull(), LUNAR_SAYS), _table(_SAYS)[c], F.when(parted, PARTED_SAYS), F.lit(PLAIN_SAYS))
-    return F.when(c == "", 0).otherwise(said)
+
+    def says(c: Column) -> Column:
+        parted = F.contains(c, F.lit("/")) | F.contains(c, F.lit("-")) | F.contains(c, F.lit("UNG")) | F.contains(c, F.lit("MELT"))
+        return F.when(c == "", 0).otherwise(F.coalesce(_table(_SAYS)[c], F.when(parted, PARTED_SAYS), F.lit(PLAIN_SAYS)))
+
+    return _let(subtype, lambda t: F.coalesce(F.when(lunar_lithology(t).isNotNull(), LUNAR_SAYS), _let(compact(t), says)))
 
 
 def best_subtype(tokens: Column) -> Column:
     """Of an array of tokens the canonical form of the one of highest precedence, the first of equals."""
-    ranked = F.transform(tokens, lambda t, i: F.struct(precedence(canonical_subtype(t)).alias("p"), (-i).alias("i"), canonical_subtype(t).alias("s")))
+    forms = F.transform(tokens, lambda t: canonical_subtype(t))
+    ranked = F.transform(forms, lambda t, i: F.struct(precedence(t).alias("p"), (-i).alias("i"), t.alias("s")))
     return F.array_max(F.filter(ranked, lambda r: r["s"].isNotNull()))["s"]
 
 
 def more_specific(candidate: Column, current: Column) -> Column:
     """Whether a subtype says more than another of its family, or continues it."""
-    a, b = compact(candidate), compact(current)
-    longer = F.startswith(a, b) & (F.length(a) > F.length(b))
-    kin = family_of(candidate).eqNullSafe(family_of(current)) & (precedence(candidate) >= PARTED_SAYS) & (precedence(candidate) > precedence(current))
-    return (a != "") & ((b == "") | ((a != b) & (longer | kin)))
+    one = lambda t: F.struct(compact(t).alias("c"), family_of(t).alias("f"), precedence(t).alias("p"))
+
+    def more(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        longer = F.startswith(a["c"], b["c"]) & (F.length(a["c"]) > F.length(b["c"]))
+        kin = a["f"].eqNullSafe(b["f"]) & (a["p"] >= PARTED_SAYS) & (a["p"] > b["p"])
+        return (a["c"] != "") & ((b["c"] == "") | ((a["c"] != b["c"]) & (longer | kin)))
+
+    return _let(F.struct(one(candidate).alias("a"), one(current).alias("b")), more)
 
 
 def merged_text(*texts: Column) -> Column:
@@ -144,14 +171,16 @@ def text_families(text: Column) -> Column:
 
 def subtype_rank(subtype: Column) -> Column:
     """Place of a subtype in a list: by family, then by how its kind is listed there, then by petrologic type; unknown ones last."""
-    c = compact(subtype)
-    p = _parts(c)
-    family = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), family_of(subtype))
     listed = {name: i for names in NAMES.values() for i, name in enumerate(names)}
     grouped = {group: i for groups in GROUPS.values() for i, group in enumerate(groups)}
-    kind = F.coalesce(_table(grouped)[F.nullif(p["group"], F.lit(""))], _table(listed)[c] + 50, F.lit(99))
-    number = F.coalesce(p["first"].try_cast("double"), F.lit(0.0))
-    return F.when(family > 0, family * 10_000 + kind * 100 + F.floor(number * 10)).otherwise(999_999).cast("int")
+
+    def ranked(x: Column) -> Column:
+        kind = F.coalesce(_table(grouped)[F.nullif(x["p"]["group"], F.lit(""))], _table(listed)[x["c"]] + 50, F.lit(99))
+        number = F.coalesce(x["p"]["first"].try_cast("double"), F.lit(0.0))
+        return F.when(x["f"] > 0, x["f"] * 10_000 + kind * 100 + F.floor(number * 10)).otherwise(999_999).cast("int")
+
+    family = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), family_of(subtype))
+    return _let(compact(subtype), lambda c: _let(F.struct(c.alias("c"), _parts(c).alias("p"), family.alias("f")), ranked))
 
 
 def compatible(row_family: Column, text_family: Column) -> Column:
@@ -163,5 +192,6 @@ def compatible(row_family: Column, text_family: Column) -> Column:
 def subtype_tokens(text: Column) -> Column:
     """What in a text may be a subtype: runs of its words, of three at most, that are a listed name or a token of the grammar."""
     words = F.filter(F.split(F.regexp_replace(text, r"\s*([/-])\s*", "$1"), r"[^A-Za-z0-9/.()-]+"), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.transform(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    return F.filter(F.transform(runs, lambda r: F.regexp_replace(r, r"^[.(]+(?=\w)|(?<=\w)[.,]+$", "")), lambda r: family_of(canonical_subtype(r)).isNotNull())
+    run = lambda w, i, n: F.regexp_replace(F.array_join(F.slice(w, i, n), " "), r"^[.(]+(?=\w)|(?<=\w)[.,]+$", "")
+    runs = _let(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.array(run(w, i, 3), run(w, i, 2), run(w, i, 1)))))
+    return F.filter(runs, lambda r: family_of(r).isNotNull())

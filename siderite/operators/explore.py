@@ -150,3 +150,19 @@ def family_rank(family: Column) -> Column:
 def stage_counts(sources: DataFrame) -> DataFrame:
     """(stage, sources, enabled): a missing ``enabled`` counts as true."""
     return sources.groupBy("stage").agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.coalesce("enabled", F.lit(True))).alias("enabled"))
+
+
+#: Stages of disabled sources; others count as backlog.
+STAGES = {"disabled_policy_blocked": "policyBlocked", "disabled_backlog": "backlog", "disabled_parser_start": "parserStart"}
+
+
+def source_stage(stage: Column, enabled: Column) -> Column:
+    """The group a source is shown in: ``enabled``, or what its stage says of a disabled one."""
+    known = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])[stage]
+    return F.when(F.coalesce(enabled, F.lit(True)), "enabled").otherwise(F.coalesce(known, F.lit("backlog")))
+
+
+def sorted_sources(sources: DataFrame) -> DataFrame:
+    """Sources with their group and place by natural order of the name; the registry is small, so one task orders it."""
+    rows = sources.select("name", source_stage(F.col("stage"), F.col("enabled")).alias("stage_group"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.coalesce("name", F.lit(""))), "name")).cast("int"))

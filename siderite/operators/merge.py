@@ -76,3 +76,17 @@ def reachable(start: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
             break
         seen = seen.unionByName(found)
     return seen
+
+
+def refresh(old: DataFrame, offers: DataFrame, official: DataFrame, rates: DataFrame, registry: DataFrame, scraped: DataFrame, parser: str, preserve: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(inventory, violations) after a run: offers become listings, are merged with the old inventory, put in order and checked.
+
+    old: rows of LISTING; offers: OFFER with scraped_at; registry: source, enabled; scraped: source. Violations are
+    rows (id, rule, severity); the inventory is returned whatever they are, writing it is the caller's decision.
+    """
+    from siderite.operators import listing, quality
+
+    fresh = listing.listings_from(offers, official, rates, parser)
+    enabled = registry.where(F.coalesce("enabled", F.lit(True))).select("source")
+    merged = merge_inventory(old, fresh, scraped, enabled, preserve)
+    return in_display_order(merged), quality.violations(merged, quality.listing_rules(), ["id"])

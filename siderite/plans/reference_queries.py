@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siderite.functions import text
+from siderite.functions import numbers, taxonomy, text
+from siderite.functions.units import with_title_mass
 from siderite.operators import enrich, explore, listing, merge, quality, runs
 from siderite.operators.enrich import rounded
 from siderite.operators.explore import Selection
 from siderite.session import ensure_checkpoint_dir
+from siderite.sources import rates
 from siderite.sources.tables import table
 from siderite.streaming import upsert
 
@@ -49,8 +51,7 @@ def facet_sibling_scope(spark, sf_dir):
 
 
 def facet_zero_fill(spark, sf_dir):
-    rows = _listings(spark, sf_dir).where("source = 'Tiefblau Raritaeten' AND price > 5000")
-    return explore.facet_counts_for(rows, explore.FAMILY_ORDER)
+    return explore.facet_counts_for(explore.visible(_listings(spark, sf_dir)), explore.FAMILY_ORDER)
 
 
 def summary_avg_min(spark, sf_dir):
@@ -108,8 +109,8 @@ def stage_counts(spark, sf_dir):
 
 
 def _open_rates(spark, sf_dir):
-    rates = table(spark, sf_dir, "fx_rates").where("provider = 'open board'")
-    return rates.groupBy(F.col("rate_date").alias("fx_rate_date"), "currency").agg(F.max(F.struct("published_at", "rate_to_usd")).alias("r")).select("fx_rate_date", "currency", F.col("r.rate_to_usd").alias("rate"))
+    known = table(spark, sf_dir, "fx_rates").where("provider = 'open board'")
+    return known.groupBy(F.col("rate_date").alias("fx_rate_date"), "currency").agg(F.max(F.struct("published_at", "rate_to_usd")).alias("r")).select("fx_rate_date", "currency", F.col("r.rate_to_usd").alias("rate"))
 
 
 def fx_convert(spark, sf_dir):
@@ -118,8 +119,8 @@ def fx_convert(spark, sf_dir):
 
 
 def fx_fallback(spark, sf_dir):
-    rates = table(spark, sf_dir, "fx_rates").withColumn("key", F.concat_ws("/", "rate_date", "currency"))
-    by = lambda p: rates.where(F.col("provider") == p).groupBy("key").agg(F.max("rate_to_usd").alias("rate"))
+    known = table(spark, sf_dir, "fx_rates").withColumn("key", F.concat_ws("/", "rate_date", "currency"))
+    by = lambda p: known.where(F.col("provider") == p).groupBy("key").agg(F.max("rate_to_usd").alias("rate"))
     derived = _listings(spark, sf_dir).where("currency IN ('EUR', 'GBP', 'CAD')").groupBy(F.concat_ws("/", "fx_rate_date", "currency").alias("key")).agg(F.max("fx_rate_to_usd").alias("rate"))
     return enrich.first_known(by("closing board"), by("open board"), derived, key="key", value="rate")
 
@@ -153,35 +154,34 @@ def newest_listing(spark, sf_dir):
     return enrich.newest(_listings(spark, sf_dir), ["id"], ["last_verified_at"], ["last_verified_at", "source", "available"])
 
 
-def _runs(spark, sf_dir):
+def _runs(spark, sf_dir, run):
+    """(old, fresh, scraped, enabled) of a run: the inventory before it, its own rows, and what it says it scraped."""
     snapshots = table(spark, sf_dir, "listing_snapshots").select("snapshot_id", F.col("url").alias("id"), "source").distinct()
-    old = snapshots.where("snapshot_id = 5").drop("snapshot_id")
-    fresh = snapshots.where("snapshot_id = 6 AND source LIKE '%s%'").drop("snapshot_id")
-    sources = table(spark, sf_dir, "sources")
-    scraped = sources.where("name LIKE '%e%'").select(F.col("name").alias("source"))
-    enabled = sources.where("coalesce(enabled, true) AND name <> 'Redmesa Irons'").select(F.col("name").alias("source"))
+    old, fresh = (snapshots.where(F.col("snapshot_id") == k).drop("snapshot_id") for k in (run - 1, run))
+    scraped = table(spark, sf_dir, "inventory_runs").where(F.col("snapshot_id") == run).select(F.explode("scraped_sources").alias("source"))
+    enabled = table(spark, sf_dir, "sources").where("coalesce(enabled, true)").select(F.col("name").alias("source"))
     return old, fresh, scraped, enabled
 
 
 def merge_upsert(spark, sf_dir):
-    old, fresh, scraped, enabled = _runs(spark, sf_dir)
+    old, fresh, scraped, enabled = _runs(spark, sf_dir, 6)
     return merge.merge_inventory(old, fresh, scraped, enabled).groupBy("source", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_without_preserve(spark, sf_dir):
-    old, fresh, scraped, enabled = _runs(spark, sf_dir)
+    old, fresh, scraped, enabled = _runs(spark, sf_dir, 4)
     return merge.merge_inventory(old, fresh, scraped, enabled, preserve=False).groupBy("source", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def empty_refreshes(spark, sf_dir):
-    _, fresh, scraped, _ = _runs(spark, sf_dir)
-    return merge.empty_refreshes(fresh, scraped)
+    """Sources of the registry that gave the newest inventory no row."""
+    registry = table(spark, sf_dir, "sources").select(F.col("name").alias("source"))
+    return merge.empty_refreshes(_listings(spark, sf_dir), registry)
 
 
 def rotation_pick(spark, sf_dir):
-    enabled = table(spark, sf_dir, "sources").where("coalesce(enabled, true)")
-    count = F.count(F.lit(1))
-    return enabled.agg(count.alias("n")).select(F.explode(F.sequence(F.lit(-3), F.lit(40))).alias("key"), "n").select("key", F.pmod(F.when(F.col("key") > 0, F.col("key") - 1).otherwise(F.col("key")), F.col("n")).cast("int").alias("place"))
+    enabled = table(spark, sf_dir, "sources").where("coalesce(enabled, true)").count()  # one number of the registry
+    return spark.createDataFrame([(key, merge.rotation_index(str(key), enabled)) for key in range(-3, 41)], "key int, place int")
 
 
 def stable_order_topk(spark, sf_dir):
@@ -196,7 +196,7 @@ def locf(spark, sf_dir):
 
 def set_algebra(spark, sf_dir):
     registry = table(spark, sf_dir, "sources").where("coalesce(enabled, true)").select(F.col("name").alias("source"))
-    return quality.set_difference(registry, table(spark, sf_dir, "documents").where("source IS NOT NULL"), "source")
+    return quality.set_algebra(registry, table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source"), "source")
 
 
 def dup_keys(spark, sf_dir):
@@ -207,57 +207,130 @@ def null_profile(spark, sf_dir):
     return quality.null_profile(_listings(spark, sf_dir), ["price", "currency", "weight_g", "canonical_name", "subtype", "image_url", "scraped_at", "seller"])
 
 
+def _massed(spark, sf_dir):
+    return with_title_mass(_listings(spark, sf_dir)), [*quality.listing_rules(), *quality.mass_rules()]
+
+
 def violations_row(spark, sf_dir):
-    return quality.violations(_listings(spark, sf_dir), quality.listing_rules(), ["id", "last_verified_at"])
+    return quality.violations(*_massed(spark, sf_dir), ["id", "last_verified_at"])
 
 
 def violation_counts(spark, sf_dir):
-    return quality.rule_counts(_listings(spark, sf_dir), quality.listing_rules())
+    return quality.rule_counts(*_massed(spark, sf_dir))
 
 
 def violations_meta(spark, sf_dir):
-    runs = table(spark, sf_dir, "inventory_runs").select("snapshot_id", "source_count", F.size("scraped_sources").alias("scraped"))
-    held = table(spark, sf_dir, "listing_snapshots").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source").alias("sources"))
-    return runs.join(held, "snapshot_id", "left").select("snapshot_id", "rows", (F.col("source_count") == F.col("scraped")).alias("count_fits"), (F.coalesce("sources", F.lit(0)) <= F.col("source_count")).alias("sources_fit"))
+    told = table(spark, sf_dir, "inventory_runs").select(F.col("snapshot_id").alias("run"), "source_count", "scraped_sources")
+    held = table(spark, sf_dir, "listing_snapshots").select(F.col("snapshot_id").alias("run"), "source").distinct()
+    return quality.metadata_faults(told, held, table(spark, sf_dir, "sources").select(F.col("name").alias("source"), "enabled"))
 
 
 def reject_top8(spark, sf_dir):
-    broken = quality.violations(_listings(spark, sf_dir), quality.listing_rules(), ["id"])
-    return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).orderBy(F.desc("n"), "first_id", "rule").limit(8)
+    broken = quality.violations(*_massed(spark, sf_dir), ["source", "id"])
+    return runs.top_reasons(broken.select("source", F.col("rule").alias("reason")), 8)
 
 
 def confidence_score(spark, sf_dir):
     evidence = [F.col("url").rlike(r"[?&]id=\d+|/product/"), F.coalesce("meteorite_type", F.lit("unknown")) != "unknown", F.col("price").isNotNull(), F.col("weight_g").isNotNull()]
-    points = sum((e.cast("int") for e in evidence[1:]), evidence[0].cast("int"))
-    band = F.when(points >= 4, "high").when(points >= 2, "medium").otherwise("low")
-    return _listings(spark, sf_dir).groupBy(band.alias("band"), "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return _listings(spark, sf_dir).groupBy(listing.confidence(evidence).alias("band"), "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def row_id_sha1(spark, sf_dir):
-    made = F.substring(F.sha1(F.concat_ws("|", "source", "url", F.coalesce("title", F.lit("")))), 1, 16)
-    return _listings(spark, sf_dir).select("id", made.alias("made_id"), "last_verified_at")
+    return _listings(spark, sf_dir).select("id", listing.row_id(F.col("source"), F.col("url"), F.col("title")).alias("made_id"), "last_verified_at")
 
 
 def domain_norm(spark, sf_dir):
-    host = F.regexp_replace(F.lower(F.regexp_extract("base_url", r"^[a-z]+://([^/:?#]+)", 1)), r"^www\.", "")
-    return table(spark, sf_dir, "sources").select("name", host.alias("host"), F.substring_index(host, ".", -2).alias("parent"), F.size("inventory_urls").alias("pages"))
+    host = text.domain(F.col("base_url"))
+    return table(spark, sf_dir, "sources").select("name", host.alias("host"), text.parent_domain(host).alias("parent"), F.size("inventory_urls").alias("pages"))
 
 
 def domain_listings(spark, sf_dir):
-    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)), r"^www\.", "")
     known = domain_norm(spark, sf_dir).select(F.col("host"), F.col("name"))
-    rows = table(spark, sf_dir, "listing_snapshots").groupBy(host.alias("host"), "source").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "listing_snapshots").groupBy(text.domain(F.col("url")).alias("host"), "source").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(known, "host", "left").select("host", "source", "n", F.col("name").eqNullSafe(F.col("source")).alias("own"))
 
 
 def classify_rules(spark, sf_dir):
-    text = F.lower(F.coalesce("metbull_type", F.lit("")))
-    family = (
-        F.when(text.rlike("^lunar"), "lunar").when(text.rlike("shergottite|nakhlite|chassignite|^martian"), "martian").when(text.rlike("^pmg|pallasite"), "pallasite")
-        .when(text.rlike("^mesosiderite"), "mesosiderite").when(text.rlike("^i[ivx]*[a-g]+$|^iva|^ivb"), "iron").when(text.rlike("^c[a-z]?[0-9]"), "carbonaceous chondrite")
-        .when(text.rlike("^e[hl]?[0-9]"), "enstatite chondrite").when(text.rlike("^(h|l|ll)[0-9]"), "ordinary chondrite").when(text.rlike("eucrite|diogenite|howardite|ureilite"), "achondrite").otherwise("unknown")
-    )
-    return _listings(spark, sf_dir).groupBy("metbull_type", family.alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = _listings(spark, sf_dir).groupBy("metbull_type").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.select("metbull_type", taxonomy.family_of(taxonomy.canonical_subtype(F.col("metbull_type"))).alias("family"), "n")
+
+
+def subtype_forms(spark, sf_dir):
+    """Every recorded subtype in its one spelling, with its family and what it says."""
+    kinds = _listings(spark, sf_dir).groupBy("subtype").agg(F.count(F.lit(1)).alias("n"))
+    form = taxonomy.canonical_subtype(F.col("subtype"))
+    return kinds.select("subtype", form.alias("form"), taxonomy.family_of(form).alias("family"), taxonomy.precedence(form).alias("says"), "n")
+
+
+def subtype_order(spark, sf_dir):
+    """Subtypes as they are listed, by family and kind."""
+    kinds = _listings(spark, sf_dir).where("subtype RLIKE '^(H|L|LL|CI|CM|CO|CV|CR|CK|EH|EL)[0-9]'").select("subtype").distinct()
+    return kinds.withColumn("place", F.row_number().over(Window.orderBy(taxonomy.subtype_rank(F.col("subtype")), "subtype")).cast("int"))  # some dozens of subtypes
+
+
+def title_subtypes(spark, sf_dir):
+    """The best subtype that each title names, by the recorded one: titles that state a class of ordinary chondrites."""
+    rows = _listings(spark, sf_dir).where("subtype RLIKE '^(H|L|LL)[3-7]$'")
+    best = taxonomy.best_subtype(taxonomy.subtype_tokens(F.col("title")))
+    return rows.groupBy((best == F.col("subtype")).alias("same"), best.isNull().alias("silent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_classes(spark, sf_dir):
+    """Classification texts with the subtype added, and without what contradicts the type."""
+    rows = _listings(spark, sf_dir).groupBy("classification_text", "subtype", "meteorite_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("classification_text", "subtype", "meteorite_type", taxonomy.merged_text(F.col("classification_text"), F.col("subtype")).alias("merged"), "n")
+
+
+def clean_titles(spark, sf_dir):
+    return _listings(spark, sf_dir).select("id", "last_verified_at", text.clean(F.col("title")).alias("cleaned"), text.unavailable(F.col("title")).alias("gone"))
+
+
+def display_names(spark, sf_dir):
+    names = table(spark, sf_dir, "official_names").select(F.explode(F.array("name", F.upper("name"), "abbrev")).alias("name")).distinct()
+    return names.where("name IS NOT NULL").select("name", text.display_case(F.col("name")).alias("shown"), text.selector_key(F.col("name")).alias("key"), text.slug("n", F.col("name")).alias("slug"))
+
+
+def url_parts(spark, sf_dir):
+    urls = table(spark, sf_dir, "listing_snapshots").select("url").distinct()
+    return urls.select("url", text.host(F.col("url")).alias("host"), text.path_and_query(F.col("url")).alias("path"), text.last_segment(F.col("url")).alias("last"), text.name_from_url(F.col("url")).alias("words"), text.remote_url(F.col("url")).alias("remote"))
+
+
+def page_hosts(spark, sf_dir):
+    """Inventory pages that stand on another host than their source."""
+    pages = table(spark, sf_dir, "sources").select("name", "base_url", F.explode("inventory_urls").alias("page"))
+    return pages.groupBy("name").agg(F.count_if(text.same_domain(F.col("base_url"), F.col("page"))).alias("own"), F.count(F.lit(1)).alias("pages"))
+
+
+def written_numbers(spark, sf_dir):
+    """The first number of each title, read in the ways numbers are written."""
+    digits = F.regexp_extract("title", r"[0-9][0-9.,]*", 0)
+    rows = _listings(spark, sf_dir).select(F.regexp_replace(digits, "[.,]+$", "").alias("written")).where("written <> ''").distinct()
+    return rows.select("written", numbers.number(F.col("written")).alias("number"), numbers.price_number(F.col("written")).alias("price"), numbers.price_number(F.col("written"), True).alias("european"))
+
+
+def title_prices(spark, sf_dir):
+    """The prices in dollars and euros that titles state."""
+    found = numbers.prices_in(F.col("title"))
+    rows = _listings(spark, sf_dir).select("id", "last_verified_at", found.alias("p"))
+    return rows.where(F.size("p") > 0).select("id", "last_verified_at", F.size("p").alias("prices"), F.get("p", F.lit(0))["currency"].alias("currency"), F.get("p", F.lit(0))["value"].alias("first"))
+
+
+def currency_codes(spark, sf_dir):
+    rows = _listings(spark, sf_dir).groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("currency", numbers.currency_of(F.col("currency")).alias("code"), "n")
+
+
+def name_keys(spark, sf_dir):
+    names = table(spark, sf_dir, "official_names").select("name").unionByName(table(spark, sf_dir, "name_aliases").select(F.col("alias").alias("name"))).where("name IS NOT NULL").distinct()
+    return enrich.with_name_key(names, "name").select("name", "name_key")
+
+
+def saved_rates(spark, sf_dir):
+    return rates.rates_from_listings(_listings(spark, sf_dir))
+
+
+def source_stages(spark, sf_dir):
+    return explore.sorted_sources(table(spark, sf_dir, "sources"))
 
 
 def json_props(spark, sf_dir):
@@ -274,7 +347,7 @@ def buying_options(spark, sf_dir):
 
 
 def image_lists(spark, sf_dir):
-    urls = F.filter(F.array_distinct(F.array_compact(F.concat(F.array("image_url"), F.coalesce("image_urls", F.array().cast("array<string>"))))), lambda u: u.rlike("^https?://"))
+    urls = text.image_list(F.concat(F.array("image_url"), F.coalesce("image_urls", F.array().cast("array<string>"))))
     return _listings(spark, sf_dir).select("id", "last_verified_at", F.size(urls).alias("images"), F.get(urls, F.lit(0)).alias("first_image"))
 
 
@@ -296,8 +369,7 @@ def domain_blocklist(spark, sf_dir):
 
 
 def suspicious_topn(spark, sf_dir):
-    rules = [r for r in quality.listing_rules() if r.severity == "warning"]
-    return quality.violations(_listings(spark, sf_dir), rules, ["id", "last_verified_at"]).orderBy("id", "last_verified_at", "rule").limit(20)
+    return quality.violations(*_massed(spark, sf_dir), ["id", "last_verified_at"]).orderBy("id", "last_verified_at", "rule").limit(20)
 
 
 def renewed_ratios(spark, sf_dir):
@@ -316,10 +388,14 @@ def stream_upsert_snapshot(spark, sf_dir):
 
 
 def event_sessions(spark, sf_dir):
-    """Runs of a user's events without a gap of an hour; the batch form of the streaming sessions."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = rows.groupBy(F.session_window("ts", "1 hour").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return out.select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+    """Runs of a user's events without a gap of an hour; on a batch the watermark drops nothing."""
+    return upsert.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "1 hour", "1 hour").select(F.col("key").alias("user_id"), F.unix_micros("start").alias("start_us"), "n")
+
+
+def event_windows(spark, sf_dir):
+    """Events of each type by day."""
+    counted = upsert.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 day", "1 hour")
+    return counted.select(F.unix_micros("start").alias("start_us"), F.col("key").alias("event_type"), "n", rounded(F.col("total"), 2).alias("total"))
 
 
 QUERIES = {
@@ -330,5 +406,7 @@ QUERIES = {
         status_filter_lookup, first_wins, last_wins, newest_listing, merge_upsert, merge_without_preserve, empty_refreshes, rotation_pick, stable_order_topk, locf, set_algebra,
         dup_keys, null_profile, violations_row, violation_counts, violations_meta, reject_top8, confidence_score, row_id_sha1, domain_norm, domain_listings, classify_rules,
         json_props, price_changes, buying_options, image_lists, candidate_score, domain_blocklist, suspicious_topn, renewed_ratios, stream_upsert_snapshot, event_sessions,
+        event_windows, subtype_forms, subtype_order, title_subtypes, merged_classes, clean_titles, display_names, url_parts, page_hosts, written_numbers, title_prices, currency_codes,
+        name_keys, saved_rates, source_stages,
     )
 }

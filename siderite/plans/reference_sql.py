@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from siderite.functions.units import CURRENCY_WORDS
+from siderite.operators.runs import CLASSES, MASSES, REFERENCE, SHOP, SIGNS, TERMS
+from siderite.plans.data_sql import CLEAN_TITLE, STATED_MASS
+
 _SEEN = "available IS DISTINCT FROM FALSE"
 _TEXT = "lower(concat_ws(' ', coalesce(title, ''), coalesce(canonical_name_display, ''), coalesce(meteorite_type, ''), coalesce(subtype, ''), coalesce(source, '')))"
 _CATEGORY = "CASE WHEN lower(trim(coalesce(meteorite_type, ''))) IN ('', 'stone') THEN 'unknown' ELSE lower(trim(meteorite_type)) END"
@@ -12,6 +16,11 @@ _r = "floor({0} * 1e{1} + 0.5) / 1e{1}".format
 _NEAR = "abs({a} - {b}) <= 0.01 * greatest(abs({a}), abs({b}), 1.0)"
 _HOST = "regexp_replace(lower(regexp_extract({0}, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '')".format
 
+#: The family of a recorded class, for the classes that the tables have.
+_FAMILY = """CASE WHEN {0} LIKE 'Lunar%' THEN 'lunar' WHEN {0} IN ('Shergottite', 'Nakhlite', 'Chassignite') THEN 'martian' WHEN {0} IN ('PMG', 'Pallasite') THEN 'pallasite' WHEN {0} = 'Mesosiderite' THEN 'mesosiderite'
+    WHEN regexp_matches({0}, '^(IAB|IIAB|IIIAB|IVA|IVB|IIE)$') THEN 'iron' WHEN regexp_matches({0}, '^C[A-Z]?[0-9]') THEN 'carbonaceous chondrite' WHEN regexp_matches({0}, '^(E[HL]|R)[3-7]') THEN 'chondrite'
+    WHEN regexp_matches({0}, '^(H|L|LL)[3-7]') THEN 'ordinary chondrite' WHEN regexp_matches({0}, '^(Eucrite|Diogenite|Howardite|Ureilite|Aubrite|Angrite)') THEN 'achondrite' END""".format
+
 _RULES = [
     ("missing_key", "id IS NULL OR url IS NULL OR source IS NULL", "error"),
     ("missing_title", "coalesce(trim(title), '') = ''", "error"),
@@ -28,15 +37,33 @@ _RULES = [
     ("first_image_differs", "image_urls[1] <> image_url", "error"),
     ("sold_but_available", "available AND regexp_matches(lower(title), '\\b(sold|on hold|reserved)\\b')", "warning"),
     ("verified_before_scraped", "last_verified_at < scraped_at", "warning"),
+    ("no_availability", "available IS NULL", "error"),
+    ("no_moment", "scraped_at IS NULL OR last_verified_at IS NULL", "error"),
+    ("bad_currency", "(price IS NOT NULL OR currency IS NOT NULL) AND NOT coalesce(currency IN (" + ", ".join(repr(c) for c in CURRENCY_WORDS) + "), FALSE)", "error"),
+    ("priced_without_usd", "price IS NOT NULL AND (price_usd IS NULL OR fx_rate_to_usd IS NULL OR NOT coalesce(regexp_matches(fx_rate_date, '^\\d{4}-\\d{2}-\\d{2}$'), FALSE))", "error"),
+    ("unpriced_with_rate", "price IS NULL AND (fx_rate_to_usd IS NOT NULL OR fx_rate_date IS NOT NULL OR price_per_g IS NOT NULL OR price_per_g_usd IS NOT NULL)", "error"),
+    ("usd_rate_not_one", "currency = 'USD' AND abs(fx_rate_to_usd - 1) > 1e-6", "error"),
+    ("usd_mismatch", "abs(price_usd - " + _r("(price * fx_rate_to_usd)", 2) + ") > 0.0101", "error"),
+    ("usd_ratio_mismatch", "NOT (" + _NEAR.format(a="price_per_g_usd", b="(price_usd / nullif(weight_g, 0))") + ")", "error"),
+    ("verified_not_official", "canonical_name_status = 'metbull_verified' AND metbull_status IS DISTINCT FROM 'Official'", "error"),
+    ("unclean_name", "trim(canonical_name) <> canonical_name OR regexp_matches(canonical_name, '[\\r\\n]|https?://', 'i') OR length(canonical_name) > 120", "error"),
+    ("images_without_first", "len(image_urls) > 0 AND image_url IS NULL", "error"),
+    ("decorative_image", "regexp_matches(image_url, 'favicon|ajax-loader|logo|spinner|counter|placeholder|sold\\.jpg', 'i')", "error"),
+    ("range_without_mark", "regexp_matches(upper(subtype), '^(H|L|LL)[3-7][3-7]$')", "error"),
+    ("type_conflict", f"{_FAMILY('subtype')} IS NOT NULL AND NOT coalesce(meteorite_type = {_FAMILY('subtype')}, FALSE)", "error"),
+    ("text_conflict", f"coalesce({_FAMILY('subtype')}, meteorite_type) <> 'unknown' AND split_part(classification_text, ', ', 1) <> coalesce({_FAMILY('subtype')}, meteorite_type)", "error"),
+    ("mass_missing", "title_g IS NOT NULL AND weight_g IS NULL", "error"),
+    ("title_mass_mismatch", "abs(title_g - weight_g) > greatest(0.001, 0.0001 * title_g)", "error"),
 ]
-_VIOLATIONS = " UNION ALL ".join(f"SELECT id, last_verified_at, '{n}' AS rule, '{s}' AS severity FROM listings WHERE {c}" for n, c, s in _RULES)
+_VIOLATIONS = " UNION ALL ".join(f"SELECT id, last_verified_at, source, '{n}' AS rule, '{s}' AS severity FROM massed WHERE {c}" for n, c, s in _RULES)
+_MASSED = f"clean AS (SELECT *, {CLEAN_TITLE} AS x FROM listings), {STATED_MASS}, massed AS (SELECT * FROM stated)"
 
 _RUNS = """
 WITH snap AS (SELECT DISTINCT snapshot_id, url AS id, source FROM listing_snapshots),
-old AS (SELECT id, source FROM snap WHERE snapshot_id = 5),
-fresh AS (SELECT id, source FROM snap WHERE snapshot_id = 6 AND source LIKE '%s%'),
-scraped AS (SELECT name AS source FROM sources WHERE name LIKE '%e%'),
-enabled AS (SELECT name AS source FROM sources WHERE coalesce(enabled, TRUE) AND name <> 'Redmesa Irons'),
+old AS (SELECT id, source FROM snap WHERE snapshot_id = {run} - 1),
+fresh AS (SELECT id, source FROM snap WHERE snapshot_id = {run}),
+scraped AS (SELECT unnest(scraped_sources) AS source FROM inventory_runs WHERE snapshot_id = {run}),
+enabled AS (SELECT name AS source FROM sources WHERE coalesce(enabled, TRUE)),
 merged AS (
     SELECT id, source, 'fresh' AS origin FROM fresh WHERE id IS NOT NULL
     UNION ALL
@@ -48,6 +75,13 @@ merged AS (
 """
 _MERGED = "SELECT source, origin, count(*) AS n FROM merged GROUP BY source, origin"
 
+_SIGN = "(" + "|".join(x.replace("$", "[$]") for x in SIGNS) + ")"
+
+
+def _has(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(words, ' {w} ')" for w in words) + ")"
+
+
 SQL = {
     "base_visible": f"SELECT source, count(*) AS n FROM listings WHERE {_SEEN} GROUP BY source",
     "search_substring": f"SELECT id, source, last_verified_at FROM listings WHERE contains({_TEXT}, 'museum grade')",
@@ -59,7 +93,7 @@ SQL = {
     "facet_sibling_scope": f"SELECT {_CATEGORY} AS category, count(*) AS n FROM listings WHERE {_SEEN} AND contains({_TEXT}, 'slice') AND source = 'Halden Bolide Works' GROUP BY 1",
     "facet_zero_fill": f"""
         SELECT f.category, count(l.category) AS n FROM (SELECT unnest({_FAMILIES}) AS category) f
-        LEFT JOIN (SELECT {_CATEGORY} AS category FROM listings WHERE source = 'Tiefblau Raritaeten' AND price > 5000) l ON f.category = l.category GROUP BY f.category
+        LEFT JOIN (SELECT {_CATEGORY} AS category FROM listings WHERE {_SEEN}) l ON f.category = l.category GROUP BY f.category
     """,
     "summary_avg_min": f"""
         SELECT count(*) AS n, count(DISTINCT nullif(trim(title), '')) AS titles, {_r('avg(v)', 4)} AS mean, min(v) AS least
@@ -141,9 +175,9 @@ SQL = {
     "first_wins": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1",
     "last_wins": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "newest_listing": "SELECT id, last_verified_at, source, available FROM listings QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_verified_at DESC, source DESC, available DESC) = 1",
-    "merge_upsert": _RUNS.format(keep="") + _MERGED,
-    "merge_without_preserve": _RUNS.format(keep="AND source IN (SELECT source FROM scraped)") + _MERGED,
-    "empty_refreshes": _RUNS.format(keep="") + "SELECT source FROM scraped WHERE source NOT IN (SELECT source FROM fresh WHERE source IS NOT NULL)",
+    "merge_upsert": _RUNS.format(run=6, keep="") + _MERGED,
+    "merge_without_preserve": _RUNS.format(run=4, keep="AND source IN (SELECT source FROM scraped)") + _MERGED,
+    "empty_refreshes": "SELECT DISTINCT name AS source FROM sources WHERE name NOT IN (SELECT source FROM listings WHERE source IS NOT NULL)",
     "rotation_pick": """
         SELECT CAST(key AS INT) AS key, CAST(((CASE WHEN key > 0 THEN key - 1 ELSE key END) % n + n) % n AS INT) AS place
         FROM (SELECT unnest(range(-3, 41)) AS key), (SELECT count(*) AS n FROM sources WHERE coalesce(enabled, TRUE))
@@ -161,18 +195,29 @@ SQL = {
     """,
     "set_algebra": """
         WITH a AS (SELECT DISTINCT name AS source FROM sources WHERE coalesce(enabled, TRUE)), b AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
-        SELECT source, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT source, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+        SELECT 'left_except_right' AS op, source FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right_except_left', source FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+        UNION ALL SELECT 'intersect', source FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'union', source FROM (SELECT * FROM a UNION SELECT * FROM b)
     """,
     "dup_keys": "SELECT source, url, title, price, weight_g, count(*) AS n FROM listings GROUP BY ALL HAVING count(*) > 1",
     "null_profile": " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS known, count(DISTINCT {c}) AS distinct_values FROM listings" for c in ("price", "currency", "weight_g", "canonical_name", "subtype", "image_url", "scraped_at", "seller")),
-    "violations_row": _VIOLATIONS,
-    "violation_counts": " UNION ALL ".join(f"SELECT '{n}' AS rule, '{s}' AS severity, count(*) AS n FROM listings WHERE {c}" for n, c, s in _RULES),
+    "violations_row": f"WITH {_MASSED} SELECT id, last_verified_at, rule, severity FROM ({_VIOLATIONS})",
+    "violation_counts": f"WITH {_MASSED} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, '{s}' AS severity, count(*) AS n FROM massed WHERE {c}" for n, c, s in _RULES),
     "violations_meta": """
-        WITH held AS (SELECT snapshot_id, count(*) AS rows, count(DISTINCT source) AS sources FROM listing_snapshots GROUP BY snapshot_id)
-        SELECT r.snapshot_id, h.rows, r.source_count = len(r.scraped_sources) AS count_fits, coalesce(h.sources, 0) <= r.source_count AS sources_fit
-        FROM inventory_runs r LEFT JOIN held h ON r.snapshot_id = h.snapshot_id
+        WITH scraped AS (SELECT DISTINCT snapshot_id AS run, unnest(scraped_sources) AS source FROM inventory_runs), found AS (SELECT DISTINCT snapshot_id AS run, source FROM listing_snapshots WHERE source IS NOT NULL),
+        faults AS (
+            SELECT snapshot_id AS run, 'count' AS fault FROM inventory_runs WHERE source_count IS DISTINCT FROM len(scraped_sources)
+            UNION ALL SELECT run, 'unknown' FROM scraped WHERE source NOT IN (SELECT name FROM sources)
+            UNION ALL SELECT run, 'disabled' FROM scraped WHERE source IN (SELECT name FROM sources WHERE NOT coalesce(enabled, TRUE))
+            UNION ALL SELECT run, 'silent' FROM (SELECT * FROM scraped EXCEPT SELECT * FROM found)
+            UNION ALL SELECT run, 'unscraped' FROM (SELECT * FROM found WHERE run IN (SELECT snapshot_id FROM inventory_runs) EXCEPT SELECT * FROM scraped)
+        )
+        SELECT r.snapshot_id AS run, f.fault, (SELECT count(*) FROM faults x WHERE x.run = r.snapshot_id AND x.fault = f.fault) AS n
+        FROM inventory_runs r, (VALUES ('count'), ('unknown'), ('disabled'), ('silent'), ('unscraped')) f(fault)
+    """,
+    "reject_top8": f"""
+        WITH {_MASSED}, v AS ({_VIOLATIONS}), c AS (SELECT source, rule AS reason, count(*) AS n FROM v GROUP BY ALL)
+        SELECT source, reason, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, reason) AS INT) AS place FROM c QUALIFY place <= 8
     """,
-    "reject_top8": f"WITH v AS ({_VIOLATIONS}) SELECT rule, count(*) AS n, min(id) AS first_id FROM v GROUP BY rule ORDER BY n DESC, first_id, rule LIMIT 8",
     "confidence_score": """
         WITH p AS (
             SELECT confidence, CAST(regexp_matches(url, '[?&]id=\\d+|/product/') AS INT) + CAST(coalesce(meteorite_type, 'unknown') <> 'unknown' AS INT)
@@ -188,14 +233,7 @@ SQL = {
         WITH rows AS (SELECT {_HOST('url')} AS host, source, count(*) AS n FROM listing_snapshots GROUP BY 1, 2), known AS (SELECT {_HOST('base_url')} AS host, name FROM sources)
         SELECT r.host, r.source, r.n, k.name IS NOT DISTINCT FROM r.source AS own FROM rows r LEFT JOIN known k ON r.host = k.host
     """,
-    "classify_rules": """
-        WITH t AS (SELECT metbull_type, lower(coalesce(metbull_type, '')) AS x FROM listings)
-        SELECT metbull_type, CASE WHEN regexp_matches(x, '^lunar') THEN 'lunar' WHEN regexp_matches(x, 'shergottite|nakhlite|chassignite|^martian') THEN 'martian'
-            WHEN regexp_matches(x, '^pmg|pallasite') THEN 'pallasite' WHEN regexp_matches(x, '^mesosiderite') THEN 'mesosiderite' WHEN regexp_matches(x, '^i[ivx]*[a-g]+$|^iva|^ivb') THEN 'iron'
-            WHEN regexp_matches(x, '^c[a-z]?[0-9]') THEN 'carbonaceous chondrite' WHEN regexp_matches(x, '^e[hl]?[0-9]') THEN 'enstatite chondrite' WHEN regexp_matches(x, '^(h|l|ll)[0-9]') THEN 'ordinary chondrite'
-            WHEN regexp_matches(x, 'eucrite|diogenite|howardite|ureilite') THEN 'achondrite' ELSE 'unknown' END AS family, count(*) AS n
-        FROM t GROUP BY 1, 2
-    """,
+    "classify_rules": f"SELECT metbull_type, {_FAMILY('metbull_type')} AS family, count(*) AS n FROM listings GROUP BY 1, 2",
     "json_props": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "price_changes": "SELECT source, snapshot_id, count(price) AS priced, count(*) FILTER (WHERE NOT available) AS gone FROM listing_snapshots GROUP BY 1, 2",
     "buying_options": "SELECT option, count(*) AS n, count(DISTINCT source) AS sources FROM (SELECT unnest(buying_options) AS option, source FROM listings) GROUP BY option",
@@ -217,17 +255,18 @@ SQL = {
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM s)
         SELECT user_id, min(us) AS start_us, count(*) AS n FROM n GROUP BY user_id, part
     """,
-    "candidate_score": """
+    "candidate_score": f"""
         WITH t AS (SELECT name, concat_ws(' ', name, description, notes) AS x, enabled, parser FROM sources),
+        w AS (SELECT *, ' ' || array_to_string(regexp_split_to_array(lower(x), '[^\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS words, lower(x) AS y FROM t),
         e AS (SELECT name,
-            regexp_matches(x, '\\b(?:meteorites?|chondrite|achondrite|pallasite|mesosiderite|lunar|martian|tektite|impactite|nwa\\s*\\d+)\\b', 'i') AS a,
-            regexp_matches(x, '(?:US\\$|\\$|USD|EUR|€|CAD)\\s*[0-9]|[0-9][0-9,.]*\\s*(?:USD|EUR|€|CAD)', 'i') AS b,
-            regexp_matches(x, '\\b[0-9][0-9,.]*\\s*(?:kg|kilograms?|g|grams?|gm|gms|mg|oz|ounces?)\\b', 'i') AS c,
-            regexp_matches(x, '\\b(?:shop|store|cart|products?|for\\s+sale|inventory)\\b', 'i') AS d,
-            regexp_matches(x, '\\b(?:nwa\\s*\\d+|lunar|martian|pallasite|eucrite|shergottite|carbonaceous)\\b', 'i') AS f,
+            {_has(TERMS)} OR regexp_matches(y, '\\bnwa\\s*\\d') AS a,
+            regexp_matches(y, '{_SIGN}\\s*\\d|\\d[\\d.,]*\\s*{_SIGN}') AS b,
+            regexp_matches(y, '\\d[\\d.,]*\\s*({'|'.join(MASSES)})\\b') AS c,
+            {_has(SHOP)} AS d,
+            {_has(CLASSES)} OR regexp_matches(y, '\\bnwa\\s*\\d') AS f,
             coalesce(parser, 'unknown') <> 'unknown' AS g,
-            regexp_matches(x, '\\b(?:article|guide|how\\s+to|museum|education|identification|blog|forum|research)\\b', 'i') AS h,
-            NOT coalesce(enabled, FALSE) AS i FROM t)
+            {_has(REFERENCE)} AS h,
+            NOT coalesce(enabled, FALSE) AS i FROM w)
         SELECT name, CAST(greatest(0, least(100, 25 * a::INT + 20 * b::INT + 20 * c::INT + 15 * d::INT + 10 * f::INT + 10 * g::INT - 15 * h::INT - 20 * i::INT)) AS INT) AS score,
                a::INT + b::INT + c::INT + d::INT + f::INT + g::INT + h::INT + i::INT AS found FROM e
     """,
@@ -240,5 +279,58 @@ SQL = {
                      EXISTS (SELECT 1 FROM blocked b WHERE h.domain = b.d OR h.domain LIKE '%.' || b.d) AS is_blocked FROM hosts h)
         SELECT domain, CASE WHEN is_known THEN 'known' WHEN is_blocked THEN 'blocked' END AS reason, count(*) AS n FROM j GROUP BY 1, 2
     """,
-    "suspicious_topn": f"SELECT * FROM ({_VIOLATIONS}) WHERE severity = 'warning' ORDER BY id, last_verified_at, rule LIMIT 20",
+    "suspicious_topn": f"WITH {_MASSED} SELECT id, last_verified_at, rule, severity FROM ({_VIOLATIONS}) ORDER BY id, last_verified_at, rule LIMIT 20",
+    "event_windows": f"SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, {_r('sum(value)', 2)} AS total FROM events GROUP BY 1, 2",
+    "subtype_forms": f"""
+        WITH k AS (SELECT subtype, count(*) AS n FROM listings GROUP BY 1)
+        SELECT subtype, CASE WHEN subtype LIKE 'Lunar (%' THEN regexp_extract(subtype, '\\((.*)\\)', 1) WHEN subtype LIKE 'Eucrite-%' OR subtype IS NULL THEN subtype ELSE upper(subtype) END AS form, {_FAMILY('subtype')} AS family,
+               CAST(CASE WHEN subtype IS NULL THEN 0 WHEN subtype LIKE 'Lunar (%' OR subtype LIKE 'Eucrite-%' THEN 80 WHEN regexp_matches(subtype, '^I') THEN 90 WHEN subtype = 'Eucrite' THEN 30 WHEN regexp_matches(subtype, '[-/]') THEN 70 ELSE 50 END AS INT) AS says, n FROM k
+    """,
+    "subtype_order": """
+        WITH k AS (SELECT DISTINCT subtype AS s FROM listings WHERE regexp_matches(subtype, '^(H|L|LL|CI|CM|CO|CV|CR|CK|EH|EL)[0-9]')),
+        o AS (SELECT s, list_position(['H', 'L', 'LL', 'CI', 'CM', 'CO', 'CV', 'CR', 'CK', 'EH', 'EL'], regexp_extract(s, '^[A-Z]+', 0)) AS g, CAST(regexp_extract(s, '[0-9.]+', 0) AS DOUBLE) AS t FROM k)
+        SELECT s AS subtype, CAST(row_number() OVER (ORDER BY g, t, s) AS INT) AS place FROM o
+    """,
+    "merged_classes": """
+        WITH k AS (SELECT classification_text AS c, subtype AS s, meteorite_type AS m, count(*) AS n FROM listings GROUP BY ALL)
+        SELECT c AS classification_text, s AS subtype, m AS meteorite_type, CASE WHEN c IS NULL THEN s WHEN s IS NULL OR list_contains(string_split(lower(c), ', '), lower(s)) THEN c ELSE c || ', ' || s END AS merged, n FROM k
+    """,
+    "clean_titles": """
+        WITH t AS (SELECT id, last_verified_at, title, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' +([,.;:])', '\\1', 'g'), '([(\\[]) +', '\\1', 'g'), ' +([)\\]])', '\\1', 'g') AS cleaned,
+                          replace(' ' || regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', ' sold by ', ' ') AS w FROM listings)
+        SELECT id, last_verified_at, cleaned, coalesce(regexp_matches(w, ' (on hold|reserved|unavailable|discontinued|out of stock|outofstock|sold) '), FALSE) AS gone FROM t
+    """,
+    "url_parts": """
+        WITH u AS (SELECT DISTINCT url FROM listing_snapshots), p AS (
+            SELECT url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '#.*$', '') AS path FROM u
+        ), l AS (SELECT *, url_decode(regexp_extract(regexp_replace(regexp_replace(path, '\\?.*$', ''), '/+$', ''), '([^/]*)$', 1)) AS last FROM p)
+        SELECT url, host, path, last, trim(regexp_replace(last, '[-_\\s]+', ' ', 'g')) AS words, coalesce(regexp_matches(url, '^https?://[^/?#]+', 'i'), FALSE) AS remote FROM l
+    """,
+    "page_hosts": """
+        WITH p AS (SELECT name, base_url, unnest(inventory_urls) AS page FROM sources), h AS (
+            SELECT name, lower(regexp_extract(base_url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS a, lower(regexp_extract(page, '^[a-zA-Z]+://([^/?#]*)', 1)) AS b FROM p)
+        SELECT name, count(*) FILTER (WHERE b = '' OR a = b) AS own, count(*) AS pages FROM h GROUP BY name
+    """,
+    "written_numbers": """
+        WITH w AS (SELECT DISTINCT regexp_replace(regexp_extract(title, '[0-9][0-9.,]*', 0), '[.,]+$', '') AS w FROM listings WHERE regexp_matches(title, '[0-9]'))
+        SELECT w AS written,
+               TRY_CAST(CASE WHEN regexp_full_match(w, '[0-9]{1,3}(,[0-9]{3})+(\\.[0-9]+)?') OR contains(w, '.') THEN replace(w, ',', '') ELSE replace(w, ',', '.') END AS DOUBLE) AS number,
+               TRY_CAST(replace(w, ',', '') AS DOUBLE) AS price,
+               TRY_CAST(CASE WHEN regexp_full_match(w, '[0-9]{1,3}(\\.[0-9]{3})+(,[0-9]{1,2})?') THEN replace(replace(w, '.', ''), ',', '.') WHEN contains(w, ',') AND NOT contains(w, '.') THEN replace(w, ',', '.') ELSE replace(w, ',', '') END AS DOUBLE) AS european FROM w
+    """,
+    "currency_codes": """
+        SELECT currency, CASE WHEN upper(trim(currency)) IN ('$', 'US$') THEN 'USD' WHEN trim(currency) = '€' THEN 'EUR' ELSE nullif(upper(trim(currency)), '') END AS code, count(*) AS n FROM listings GROUP BY 1, 2
+    """,
+    "name_keys": """
+        WITH n AS (SELECT name FROM official_names WHERE name IS NOT NULL UNION SELECT alias FROM name_aliases WHERE alias IS NOT NULL)
+        SELECT name, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(lower(name), 'ł', 'l')), '["''’‘“”`]', '', 'g'), '[\\s_\\-]+', ' ', 'g'), '\\bmeteorites?\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS name_key FROM n
+    """,
+    "saved_rates": """
+        SELECT fx_rate_date AS rate_date, currency, fx_rate_to_usd AS rate FROM listings WHERE fx_rate_to_usd > 0 AND currency IS NOT NULL AND fx_rate_date IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY currency ORDER BY fx_rate_date DESC, fx_rate_to_usd DESC) = 1
+    """,
+    "source_stages": """
+        SELECT name, CASE WHEN coalesce(enabled, TRUE) THEN 'enabled' WHEN stage = 'disabled_policy_blocked' THEN 'policyBlocked' WHEN stage = 'disabled_parser_start' THEN 'parserStart' ELSE 'backlog' END AS stage_group,
+               CAST(row_number() OVER (ORDER BY lower(coalesce(name, '')), name) AS INT) AS place FROM sources
+    """,
 }

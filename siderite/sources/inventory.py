@@ -21,21 +21,50 @@ def read_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def write_inventory(listings: DataFrame, run: DataFrame, path: str) -> None:
-    """The inventory as Parquet beside its run's JSON, put in place at once: readers see the old one or the new.
+    """The inventory as Parquet beside its run's JSON, as a new version below ``path``; ``current`` names the one that holds.
 
-    A single document would pass through one task, so rows are written by all of them.
+    A version is written whole before ``current`` is replaced by one rename, so a crash leaves the old inventory and
+    readers see the old one or the new; versions but the last two are removed. A single document would pass
+    through one task, so rows are written by all of them. See :func:`current_inventory`.
     """
     spark = listings.sparkSession
-    staging = f"{path}.{uuid.uuid4().hex}"
-    listings.write.parquet(f"{staging}/listings")
-    counted = run.withColumn("listing_count", F.lit(spark.read.parquet(f"{staging}/listings").count()))
-    counted.coalesce(1).write.json(f"{staging}/run")
+    version = f"v-{uuid.uuid4().hex}"
+    listings.write.parquet(f"{path}/{version}/listings")
+    counted = run.withColumn("listing_count", F.lit(spark.read.parquet(f"{path}/{version}/listings").count()))
+    counted.coalesce(1).write.json(f"{path}/{version}/run")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"{staging} can't be renamed to {path}")
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    before = _current(spark, path)
+    named, target = jvm.org.apache.hadoop.fs.Path(f"{path}/.{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    out = fs.create(named, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    # FileContext's rename replaces the target in one step
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf).rename(named, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0) if not fs.exists(target) else _overwrite(spark))
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _overwrite(spark: SparkSession):
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    return options
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.text(f"{path}/current").first()["value"]
+
+
+def current_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(listings, run) of the version that holds; None before the first."""
+    version = _current(spark, path)
+    return version and (spark.read.parquet(f"{path}/{version}/listings"), spark.read.json(f"{path}/{version}/run"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -68,7 +68,10 @@ def test_inventory_document(spark, tmp_path):
     assert empty.count() == 0 and none.count() == 0
     for _ in range(2):
         inventory.write_inventory(listings, run, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/listings")).count() == 2 and spark.read.json(str(tmp_path / "out/run")).first()["listing_count"] == 2
+    held, told = inventory.current_inventory(spark, str(tmp_path / "out"))
+    assert held.count() == 2 and told.first()["listing_count"] == 2 and inventory.current_inventory(spark, str(tmp_path / "none")) is None
+    inventory.write_inventory(listings.limit(1), run, str(tmp_path / "out"))
+    assert inventory.current_inventory(spark, str(tmp_path / "out"))[0].count() == 1 and held.count() == 2  # the version before is still whole
     assert inventory.same_rows(listings.select("id"), listings.select("id")) and not inventory.same_rows(listings.select("id"), listings.select("id").limit(1))
     assert inventory.empty_listings(spark).count() == 0
 
