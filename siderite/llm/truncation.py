@@ -1,8 +1,9 @@
 """Texts that were cut off before their end (problem 9).
 
-Near-copies come first: min-hash bands over five-word shingles bring texts to the representatives of their
-bucket, the exact Jaccard similarity verifies a pair, and the shorter text's closing shingle is looked for in
-the longer one. Where words follow it there, the copy ended early. Edits elsewhere in the texts don't matter.
+Near-copies come first: every two texts of different length whose five-word shingles have a Jaccard similarity of
+0.8 or more are found by an exact join (prefix filter), the similarity is verified on the texts, and the shorter
+text's closing shingle is looked for in the longer one. Where words follow it there, the copy ended early. Edits
+elsewhere in the texts don't matter.
 
 Every other text is scored by the terminality of its closing words: how often they end a text, over how often
 they occur at all, a longer word that begins like the closing one counting as an occurrence that went on. The
@@ -12,13 +13,17 @@ No length of text, line or word decides anything.
 
 Scale: each different text moves once, when exact copies are dropped after map-side combine; all counts run over
 the stored table of different texts, so copies weigh nothing. A score belongs to a closing, not to a text, so a
-closing that a third of all texts share is scored once. A bucket costs one aggregate and each member is compared
-with the representatives of its own and the next classes of length, never with all members. No cap on anything.
+closing that a third of all texts share is scored once. Texts that differ in numbers, case and marks only are one
+form; forms meet by their rarest shingles, and only hashes move before a pair is verified. The pairs to look at grow
+with how many texts share their rarest shingles: where more texts only repeat the same wording, with the square of
+them. No cap on anything.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,12 @@ from pyspark.sql import functions as F
 from siderite.session import stored
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: 32 bands of 8 rows find a pair of similarity 0.8 with probability 0.997, one of 0.5 with 0.12.
-BANDS, BAND_ROWS = 32, 8
-#: Members of a bucket are compared with the longest of each class of length; a class spans a tenth.
-CLASS_RATIO, CLASSES_ABOVE = 1.1, 3
+#: What two texts of that similarity share of their added sizes, at least; what float products may be off by.
+OVERLAP, ROUNDING = SIMILARITY / (1 + SIMILARITY), 1e-9
+#: Shingles are taken from the rarest on; how many texts tell which are common, and how many hold a common one.
+ORDER_TEXTS, COMMON = 20_000, 3
+#: Sizes are told apart in spans of this ratio, a little over 1 / SIMILARITY. Bits of a text's shape.
+SPAN_RATIO, BITS = 1.26, 256
 #: A closing without a sentence mark is a cut below this rate; one with a mark below the other.
 OPEN_RATE, MARKED_RATE = 0.03, 0.003
 #: How many occurrences the coarser rate counts as, without and with a sentence mark.
@@ -50,10 +57,6 @@ def _folded(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"\d+(?:[.,]\d+)*", "0")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(_folded(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-
-
 def usable_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, source, text_key, text): documents with an id and more than blanks; text without blanks at its end."""
     text = F.regexp_replace("text", r"\s+$", "")
@@ -176,122 +179,246 @@ def closing_rates(lines: DataFrame, ends: DataFrame) -> DataFrame:
     return rows.select("closing", "kind", F.when(F.col("kind") == ".", marked).otherwise(rate).alias("rate"))
 
 
-def band_hashes(texts: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(text_key, words, buckets): a min-hash bucket for each band over five-word shingles; shorter texts have none."""
-    rng = np.random.default_rng(5)
-    a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+def _items(text: str) -> tuple[list[str], list[str]]:
+    """(words, what follows each up to the next)."""
+    import regex
+
+    parts = regex.findall(r"([\p{L}\p{N}]+)([^\p{L}\p{N}]*)", text)
+    return [w.lower() for w, _ in parts], [s for _, s in parts]
+
+
+def _shingle_hashes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[str, int, int, np.ndarray]]:
+    """(text_key, words, form, different shingles as hashes) of the texts of more than SHINGLE_WORDS words.
+
+    The shingles' words are those of _items, each number a 0; ``form`` hashes them all and ``words``, which counts a
+    number with its decimals as one. known: the words' codes so far.
+    """
+    import regex
+
+    find, decimals = regex.compile(r"[\p{L}\p{N}]+").findall, regex.compile(r"(?<=[0-9])[.,](?=[0-9])").findall
+    code = lambda w: xxhash.xxh64_intdigest("0" if w.isdigit() else w)
+    for key, text in zip(batch["text_key"].to_pylist(), batch["text"].to_pylist()):
+        words = find(text)
+        if len(words) <= SHINGLE_WORDS:
+            continue
+        if len(known) > 1_000_000:
+            known.clear()
+        codes = np.fromiter((known.get(w) or known.setdefault(w, code(w.lower())) for w in words), np.uint64, len(words))
+        shingle = np.zeros(len(words) - SHINGLE_WORDS + 1, np.uint64)
+        for i in range(SHINGLE_WORDS):
+            shingle = (shingle ^ codes[i : i + shingle.size]) * np.uint64(0x9E3779B97F4A7C15)
+            shingle ^= shingle >> np.uint64(29)
+        count = len(words) - len(decimals(text))
+        yield key, count, xxhash.xxh64_intdigest(codes.tobytes(), count), np.unique(shingle)
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the shingles that COMMON or more of about ORDER_TEXTS texts hold.
+
+    They only decide in which order text_shapes takes shingles, so how much near_copies has to look at: the pairs
+    it finds are the same with any order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            keys, sizes, buckets = [], [], []
-            for key, words in zip(batch["text_key"].to_pylist(), batch["w"].to_pylist()):
-                if len(words) < SHINGLE_WORDS:
-                    continue
-                if len(known) > 1_000_000:
-                    known.clear()
-                codes = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
-                shingle = np.zeros(len(words) - SHINGLE_WORDS + 1, np.uint64)
-                for i in range(SHINGLE_WORDS):
-                    shingle = (shingle ^ codes[i : i + shingle.size]) * np.uint64(0x9E3779B97F4A7C15)
-                    shingle ^= shingle >> np.uint64(29)
-                shingle = np.unique(shingle)
-                least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                for part in range(0, shingle.size, 4096):
-                    mixed = shingle[part : part + 4096, None] * a + b
-                    least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
-                keys.append(key)
-                sizes.append(len(words))
-                buckets.append([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(bands, rows)])
-            if keys:
-                flat = pa.array(np.array(buckets, np.uint64).reshape(-1).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.string()), "words": pa.array(sizes, pa.int32()), "buckets": lists})
-
-    return texts.select("text_key", _words(F.col("text")).alias("w")).mapInArrow(run, "text_key string, words int, buckets array<bigint>")
-
-
-def near_copies(texts: DataFrame) -> DataFrame:
-    """(short, long): texts and the longer representatives of their buckets whose length allows similarity SIMILARITY.
-
-    The representative of a class of length is the longest text of the class in a bucket; a text meets those of
-    its own class and of the CLASSES_ABOVE next ones, which span all lengths that SIMILARITY allows. A text that
-    is alike to another member only and to no representative of any of its BANDS buckets isn't proposed.
+            if held := [x for _, _, _, x in _shingle_hashes(batch, known)]:
+                hashes, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(hashes.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    parts = 1 << 20
+    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(parts)) < share * parts).select("text_key", "text")
+    rows = some.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    hashes, counts = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _folded_bits(odd: np.ndarray, size: int) -> np.ndarray:
+    """The marks as they are in ``size`` bytes; both sizes are powers of two."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, size), axis=0)
+
+
+def text_shapes(texts: DataFrame) -> DataFrame:
+    """(text_key, form, words, size, few, first, bits, marks) of the texts of more than SHINGLE_WORDS words.
+
+    form: the same for texts that differ in case, marks, blanks and numbers only; size: how many different shingles.
+    first: the rarest shingles, as many as make sure that a text of similarity SIMILARITY has one of them among its
+    own, ``few`` of them if it is no smaller. bits: of BITS, those that an odd number of shingles fall on; marks: the
+    same of twice the size or more.
     """
-    hashed = stored(band_hashes(texts).select("text_key", F.xxhash64("text_key").alias("id"), "words", F.floor(F.log("words") / float(np.log(CLASS_RATIO))).cast("int").alias("size"), "buckets"))
-    # a member is three numbers beside its bucket, which names its band, too
-    members = hashed.select("id", "words", "size", F.posexplode("buckets").alias("band", "in_band")).select("id", "words", "size", F.xxhash64("band", "in_band").alias("bucket"))
-    tops = members.groupBy("bucket", "size").agg(F.max(F.struct("words", "id")).alias("top"), F.count(F.lit(1)).alias("held"))
-    # a bucket of one text proposes nothing; the few others are spread over the classes that look up to them
-    shared = tops.join(tops.groupBy("bucket").agg(F.sum("held").alias("all")).where("`all` > 1").select("bucket"), "bucket", "left_semi")
-    above = stored(shared.select("bucket", F.explode(F.sequence(F.col("size") - CLASSES_ABOVE, F.col("size"))).alias("size"), F.col("top.words").alias("m"), F.col("top.id").alias("other")))
-    met = members.join(above, ["bucket", "size"]).where((F.col("words") < F.col("m")) & (F.col("words") >= SIMILARITY * F.col("m") - SHINGLE_WORDS)).select("id", "other").distinct()
-    named = lambda key, out: hashed.select(F.col("id").alias(key), F.col("text_key").alias(out))
-    return stored(met).join(named("id", "short"), "id").join(named("other", "long"), "other").select("short", "long")
+    common, counts = common_shingles(texts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows = list(_shingle_hashes(batch, known))
+            if not rows:
+                continue
+            first, few, bits, marks = [], [], [], []
+            for _, _, _, x in rows:
+                held = np.zeros(x.size, np.int64)
+                if common.size:
+                    at = np.minimum(np.searchsorted(common, x), common.size - 1)
+                    held = np.where(common[at] == x, counts[at], 0)
+                first.append(x[np.lexsort((x, held))[: x.size - math.ceil(SIMILARITY * x.size - ROUNDING) + 1]])
+                few.append(x.size - math.ceil(2 * OVERLAP * x.size - ROUNDING) + 1)
+                wide = max(BITS, 1 << (2 * x.size - 1).bit_length())
+                odd = np.packbits((np.bincount((x >> np.uint64(32)).astype(np.int64) % wide, minlength=wide) & 1).astype(np.uint8))
+                bits.append(_folded_bits(odd, BITS // 8).view(np.int64))
+                marks.append(odd.tobytes())
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x).view(np.int64)))
+            forms = pa.array(np.array([form for _, _, form, _ in rows], np.uint64).view(np.int64))
+            ints = lambda x: pa.array(x, pa.int32())
+            yield pa.RecordBatch.from_pydict({"text_key": pa.array([k for k, *_ in rows], pa.string()), "form": forms, "words": ints([n for _, n, _, _ in rows]), "size": ints([x.size for *_, x in rows]), "few": ints(few), "first": lists(first), "bits": lists(bits), "marks": pa.array(marks, pa.binary())})
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key string, form bigint, words int, size int, few int, first array<bigint>, bits array<bigint>, marks binary")
+
+
+def near_copies(shapes: DataFrame) -> DataFrame:
+    """(short, long): forms of different length, among them every two whose similarity is SIMILARITY or more.
+
+    Two forms of that similarity share OVERLAP of their added sizes or more, so one of the rarest ``few`` of the
+    smaller is among the rarest ``first`` of the larger, at a place that leaves as many after it; and no more bits
+    differ than shingles. Both hold for every such pair, so none is lost; what is left over is told by the texts. Few
+    bits tell long texts apart badly, so their marks are compared, too.
+    """
+    forms = stored(shapes.drop("text_key").dropDuplicates(["form"]).withColumn("span", F.floor(F.log("size") / float(np.log(SPAN_RATIO))).cast("int")))
+    word_bits = [f"b{k}" for k in range(BITS // 64)]
+    shape = ["form", "words", "size", *[F.col("bits")[k].alias(b) for k, b in enumerate(word_bits)]]
+    larger = forms.select(*shape, "span", F.posexplode("first").alias("at", "shingle"))
+    # a form of the similarity is at most 1.25 times as large, so it is in the same span of sizes or the next
+    smaller = forms.select(*shape, F.explode(F.array("span", F.col("span") + 1)).alias("span"), F.slice("first", F.lit(1), F.col("few")).alias("first"))
+    smaller = smaller.select("form", "words", "size", *word_bits, "span", F.posexplode("first").alias("at", "shingle"))
+    a, b = smaller.alias("a"), larger.alias("b")
+    both = F.col("a.size") + F.col("b.size")
+    ordered = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.form") < F.col("b.form")))
+    enough = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= OVERLAP * both - ROUNDING
+    differ = sum((F.bit_count(F.col(f"a.{k}").bitwiseXOR(F.col(f"b.{k}"))) for k in word_bits[1:]), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+    alike = differ <= (1 - 2 * OVERLAP) * both + ROUNDING
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.span") == F.col("b.span")) & (F.col("a.words") != F.col("b.words")) & ordered & enough & alike)
+    first = F.col("a.words") < F.col("b.words")
+    found = met.select(F.when(first, F.col("a.form")).otherwise(F.col("b.form")).alias("short"), F.when(first, F.col("b.form")).otherwise(F.col("a.form")).alias("long")).distinct()
+    found = stored(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, m, y, n in zip(*(batch[c].to_pylist() for c in ("x", "m", "y", "n"))):
+                u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(u.size, v.size)
+                differ = int(np.bitwise_count(_folded_bits(u, size) ^ _folded_bits(v, size)).sum())
+                kept.append(differ <= (1 - 2 * OVERLAP) * (m + n) + ROUNDING)
+            yield batch.select(["short", "long"]).filter(pa.array(kept, pa.bool_()))
+
+    marked = stored(forms.select("form", "size", "marks").join(found.select(F.explode(F.array("short", "long")).alias("form")).distinct(), "form", "left_semi"))
+    read = lambda key, marks, size: marked.select(F.col("form").alias(key), F.col("marks").alias(marks), F.col("size").alias(size))
+    return found.join(read("short", "x", "m"), "short").join(read("long", "y", "n"), "long").select("short", "long", "x", "m", "y", "n").mapInArrow(run, "short bigint, long bigint")
+
+
+def _grams(words: list[str]) -> list[tuple[str, ...]]:
+    """The shingles of a text's words, each number a 0; the words themselves if they are fewer."""
+    folded = ["0" if w.isdigit() else w for w in words]
+    return [tuple(folded[i : i + SHINGLE_WORDS]) for i in range(max(1, len(folded) - SHINGLE_WORDS + 1))]
 
-def aligned_end(short: str, long: str) -> tuple[float, bool | None]:
-    """(similarity, cut): Jaccard similarity of the texts' word shingles, and whether ``short`` ended early inside a word or sentence.
 
-    The last shingle of whole words of ``short`` that ``long`` has, at the occurrence nearest to its own place,
-    anchors the end; cut is null where the closing words of ``short`` are nowhere in ``long``. Linear in the texts.
+def _aligned_place(x: list[tuple[str, ...]], y: list[tuple[str, ...]]) -> tuple[float, int | None, int | None]:
+    """(similarity, back, at) of a short text's shingles in a long one's: ``back`` 1 or more words from its end they meet, its last word stands at ``at``.
+
+    The last shingle of whole words that ``y`` has, too, at the occurrence nearest to its own place, anchors the end.
     """
+    sx, sy = set(x), set(y)
+    similarity = len(sx & sy) / max(1, len(sx | sy))
+    if similarity < SIMILARITY or len(x) < 2:
+        return similarity, None, None
+    for back in range(1, SHINGLE_WORDS + 1):  # the last word may be a fragment, the ones before it may be edited
+        i = len(x) - 1 - back
+        if i >= 0 and x[i] in sy:
+            at = min((p for p, g in enumerate(y) if g == x[i]), key=lambda p: abs(p - i))
+            return similarity, back, at + SHINGLE_WORDS + back - 1
+    return similarity, None, None
+
+
+def _ending(words: list[str], after: list[str]) -> tuple[str, bool, bool]:
+    """(last word, whether nothing but blanks follows it, whether it ends a sentence)."""
     import regex
 
-    def items(text: str) -> tuple[list[str], list[str]]:
-        parts = regex.findall(r"([\p{L}\p{N}]+)([^\p{L}\p{N}]*)", text)
-        return [w.lower() for w, _ in parts], [s for _, s in parts]
+    tail = after[-1]
+    return words[-1], tail.strip() == "", regex.search(r"(?:\.\.|…|\[\.\.\.\])", tail) is None and regex.search(r"[.!?]", tail) is not None
 
-    (x, after_x), (y, after_y) = items(short), items(long)
-    fold = lambda words: ["0" if w.isdigit() else w for w in words]
-    grams = lambda w: [tuple(w[i : i + SHINGLE_WORDS]) for i in range(max(1, len(w) - SHINGLE_WORDS + 1))]
-    gx, gy = grams(fold(x)), grams(fold(y))
-    sx, sy = set(gx), set(gy)
-    similarity = len(sx & sy) / max(1, len(sx | sy))
-    if similarity < SIMILARITY or len(x) <= SHINGLE_WORDS:
+
+def _going_on(words: list[str], after: list[str], at: int) -> tuple[str | None, str]:
+    """(the word at ``at``, null beyond the end; how the text goes on behind it: ``ends`` with a line, in a ``number``, or with ``words``)."""
+    if at >= len(words):
+        return None, "ends"
+    if at + 1 >= len(words) or "\n" in after[at]:
+        return words[at], "ends"
+    if words[at].isdigit() and words[at + 1].isdigit() and after[at] in (".", ","):
+        return words[at], "number"
+    return words[at], "words"
+
+
+def aligned_end(short: str, long: str) -> tuple[float, bool | None]:
+    """(similarity, cut): Jaccard similarity of the texts' word shingles, and whether ``short`` ended early inside a word or sentence.
+
+    cut is null where the closing words of ``short`` are nowhere in ``long``, or another word than its last stands
+    there after other words. Linear in the texts. aligned_cuts does the same for all texts by joins.
+    """
+    (x, after_x), (y, after_y) = _items(short), _items(long)
+    similarity, back, at = _aligned_place(_grams(x), _grams(y))
+    if back is None:
         return similarity, None
-    places: dict[tuple, list[int]] = {}
-    for i, g in enumerate(gy):
-        places.setdefault(g, []).append(i)
-    for back in range(1, SHINGLE_WORDS + 1):  # the last word may be a fragment, the ones before it may be edited
-        i = len(x) - back - SHINGLE_WORDS
-        if i < 0 or gx[i] not in places:
-            continue
-        at = min(places[gx[i]], key=lambda p: abs(p - i)) + SHINGLE_WORDS + back - 1
-        if at >= len(y):
-            return similarity, False
-        if y[at] != x[-1]:
-            goes_on = y[at].startswith(x[-1]) and after_x[-1].strip() == ""
-            return similarity, goes_on if back == 1 else None
-        tail, follows = after_x[-1], after_y[at]
-        if at + 1 >= len(y) or "\n" in follows:
-            return similarity, False
-        if y[at].isdigit() and y[at + 1].isdigit() and follows in (".", ","):
-            return similarity, True
-        stops = regex.search(r"(?:\.\.|…|\[\.\.\.\])", tail) is None and regex.search(r"[.!?]", tail) is not None
-        return similarity, not stops
-    return similarity, None
+    (last, blank, stops), (word, how) = _ending(x, after_x), _going_on(y, after_y, at)
+    if word is None:
+        return similarity, False
+    if word != last:
+        return similarity, word.startswith(last) and blank if back == 1 else None
+    return similarity, how == "number" or how == "words" and not stops
 
 
 def aligned_cuts(texts: DataFrame) -> DataFrame:
     """(text_key, cut_inside): texts with a longer near-copy that has their end; whether they stop inside a word or sentence there.
 
-    Only hashes move; the texts of the pairs are fetched by key, from a stored list of the pairs' texts.
+    Longer means more words. Every near-copy counts; one in which a text is cut decides. Only hashes move; the texts
+    of the pairs are fetched by key. Similarity and place rest on the forms alone and are found once for two forms;
+    the texts of a form then meet by their last words and by the words that stand there, not one by one.
     """
-    met = stored(near_copies(texts))
-    wanted = stored(met.select(F.explode(F.array("short", "long")).alias("text_key")).distinct())
-    found_texts = stored(texts.join(wanted, "text_key", "left_semi"))
-    read = lambda key, out: found_texts.select(F.col("text_key").alias(key), F.col("text").alias(out))
-    pairs = met.join(read("short", "a"), "short").join(read("long", "b"), "long").select("short", "a", "b")
+    shapes = stored(text_shapes(texts))
+    met = stored(near_copies(shapes))
+    named = shapes.select("form", "text_key")
+    wanted = stored(met.select(F.explode(F.array("short", "long")).alias("form")).distinct())
+    heads = named.join(wanted, "form", "left_semi").groupBy("form").agg(F.min("text_key").alias("text_key"))
+    found_texts = stored(texts.select("text_key", "text").join(heads, "text_key").select("form", "text"))
+    read = lambda key, out: found_texts.select(F.col("form").alias(key), F.col("text").alias(out))
+    pairs = met.join(read("short", "a"), "short").join(read("long", "b"), "long").select("short", "long", "a", "b")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = lru_cache(256)(lambda text: _grams(_items(text)[0]))
+        for batch in batches:
+            placed = [_aligned_place(grams(a), grams(b)) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["short"], batch["long"], pa.array([p for _, p, _ in placed], pa.int32()), pa.array([p for _, _, p in placed], pa.int32())], ["short", "long", "back", "at"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            judged = [aligned_end(a, b) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["short"], pa.array([s for s, _ in judged], pa.float64()), pa.array([c for _, c in judged], pa.bool_())], ["short", "similarity", "cut"])
+            ends = [_ending(*_items(t)) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["short"], batch["text_key"], pa.array([w for w, _, _ in ends], pa.string()), pa.array([b for _, b, _ in ends], pa.bool_()), pa.array([s for *_, s in ends], pa.bool_())], ["short", "text_key", "word", "blank", "stops"])
 
-    judged = pairs.mapInArrow(run, "short string, similarity double, cut boolean").where(f"similarity >= {SIMILARITY} AND cut IS NOT NULL")
-    return judged.groupBy("short").agg(F.max("cut").alias("cut_inside")).select(F.col("short").alias("text_key"), "cut_inside")
+    def going_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_going_on(*_items(t), at) for t, at in zip(batch["text"].to_pylist(), batch["at"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["long"], batch["at"], pa.array([w for w, _ in found], pa.string()), pa.array([h for _, h in found], pa.string())], ["long", "at", "word", "how"])
+
+    placed = stored(pairs.mapInArrow(place, "short bigint, long bigint, back int, at int").where("back IS NOT NULL"))
+    members = lambda form: texts.select("text_key", "text").join(named.withColumnRenamed("form", form).join(placed.select(form).distinct(), form, "left_semi"), "text_key")
+    ends = stored(members("short").select("short", "text_key", "text").mapInArrow(ending, "short bigint, text_key string, word string, blank boolean, stops boolean"))
+    sites = members("long").join(placed.select("long", "at").distinct(), "long").select("long", "at", "text").mapInArrow(going_on, "long bigint, at int, word string, how string").distinct()
+    offers = stored(placed.join(sites, ["long", "at"]).select("short", "back", "word", "how").distinct())
+    same = ends.join(offers.select("short", "word", "how").distinct(), ["short", "word"]).select("text_key", F.expr("how = 'number' OR how = 'words' AND NOT stops").alias("cut"))
+    begun = offers.where("back = 1 AND length(word) > 1").select("short", F.explode(F.expr("transform(sequence(1, length(word) - 1), n -> substring(word, 1, n))")).alias("word")).distinct()
+    inside = ends.where("blank").join(begun, ["short", "word"], "left_semi").select("text_key", F.lit(True).alias("cut"))
+    other = ends.join(offers.where("back = 1 OR word IS NULL").select("short").distinct(), "short", "left_semi").select("text_key", F.lit(False).alias("cut"))
+    return same.unionByName(inside).unionByName(other).groupBy("text_key").agg(F.max("cut").alias("cut_inside"))
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:

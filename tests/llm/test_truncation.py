@@ -101,3 +101,45 @@ def test_aligned_end_of_one_pair():
         assert truncation.aligned_end(f"{head} {short}", f"{head} {long}")[1] == want, (short, long)
     assert truncation.aligned_end("a b c d e f", "u v w x y z") == (0.0, None) and truncation.aligned_end("", "a b")[1] is None
     assert truncation.aligned_end(head.upper() + " IT WAS", head + " it was found here.")[1] is True
+
+
+def test_every_near_copy_is_met(spark):
+    """Families of near-copies, most alike to another member and not to the longest: as aligned_end over all pairs tells."""
+    rng = random.Random(14)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts = {}
+    for family in range(12):
+        base = [rng.choice(words) if rng.random() > 0.15 else str(rng.randint(1, 99)) for _ in range(60)]
+        for member in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):  # edits that part a member from many others
+                own[rng.randrange(45)] = rng.choice(words)
+            if member == 4:
+                own = own[20:] + own[:20]
+            if member == 5:  # as long again, the same shingles
+                own = own + own
+            text = " ".join(own + [rng.choice(words) for _ in range(rng.randint(0, 4))][: 12 - member]) + rng.choice(["", ".", "...", "\n"])
+            cut = rng.choice([0, 0, 3, 9, 15])
+            texts[f"{family}-{member}"] = text[: len(text) - cut]
+    texts |= {f"lot-{i}": " ".join(words[:40]) + f" lot {i}" + (f" and {i * 7} more" if i % 2 else "") for i in range(20)}
+    want = {}
+    for x, a in texts.items():
+        for y, b in texts.items():
+            if len(a.replace(".", " ").split()) < len(b.replace(".", " ").split()) and (judged := truncation.aligned_end(a, b))[0] >= truncation.SIMILARITY and judged[1] is not None:
+                want[x] = want.get(x, False) or judged[1]
+    rows = spark.createDataFrame(list(texts.items()), "text_key string, text string")
+    assert {r["text_key"]: r["cut_inside"] for r in truncation.aligned_cuts(rows).collect()} == want
+    assert sum(want.values()) > 20 and len(want) > sum(want.values()) + 10
+
+
+def test_a_copy_like_a_shorter_member_only_is_met(spark):
+    """Thirty longer texts resemble the middle one, none of them the short one, whose cut the middle one alone shows."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    edited = lambda own, at, word: [*own[:at], word, *own[at + 1 :]]
+    middle = words[:100]
+    rows = [("short", " ".join(edited(middle[:97], 10, "edited"))), ("middle", " ".join(middle) + ".")]
+    rows += [(f"longer-{i}", " ".join([*edited(middle, 20 + 2 * i, words[100 + i]), *words[200 + 3 * i : 203 + 3 * i], "end"]) + ".") for i in range(30)]
+    similar = [k for k, t in rows[1:] if truncation.aligned_end(rows[0][1], t)[0] >= truncation.SIMILARITY]
+    assert similar == ["middle"]
+    got = {r["text_key"]: r["cut_inside"] for r in truncation.aligned_cuts(spark.createDataFrame(rows, "text_key string, text string")).collect()}
+    assert got["short"] is True
